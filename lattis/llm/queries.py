@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattis.llm import op3_rules, op4_license, op5_audio, op7_secrets, op8_mix, op9_pack
+from lattis.llm import op1_lm, op2_cotrain, op3_rules, op4_license, op5_audio, op7_secrets, op8_mix, op9_pack, op10_jaccard
 from lattis.llm.work import documents
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_lm.score(documents(spark, sf_dir))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return op2_cotrain.score(docs, op2_cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = op3_rules.ledger(documents(spark, sf_dir))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~op3_rules.passes("base")).alias("base_failed"), op3_rules.passes("v1").alias("kept"), "failed")
@@ -35,8 +44,12 @@ def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_pack.pack(documents(spark, sf_dir))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_jaccard.join(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_license_scan, op5_audio_features, op7_secret_scan, op8_source_mix, op9_best_fit_pack)}
+    return {f.__name__: f for f in (op1_lm_score, op2_quality_classifier, op3_quality_rules, op4_license_scan, op5_audio_features, op7_secret_scan, op8_source_mix, op9_best_fit_pack, op10_ngram_jaccard)}
 
 
 OP3_SQL = r"""
