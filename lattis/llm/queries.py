@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattis.llm import op1_lm, op2_cotrain, op3_rules, op4_license, op5_audio, op7_secrets, op8_mix, op9_pack, op10_jaccard
+from lattis.llm import op1_lm, op2_cotrain, op3_rules, op4_license, op5_audio, op6_suffix, op7_secrets, op8_mix, op9_pack, op10_jaccard
 from lattis.llm.work import documents
 
 
@@ -32,6 +32,10 @@ def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_audio.digest(op5_audio.features(op5_audio.store(documents(spark, sf_dir))))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_suffix.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_secrets.scan(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_quality_classifier, op3_quality_rules, op4_license_scan, op5_audio_features, op7_secret_scan, op8_source_mix, op9_best_fit_pack, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_lm_score, op2_quality_classifier, op3_quality_rules, op4_license_scan, op5_audio_features, op6_suffix_dedup, op7_secret_scan, op8_source_mix, op9_best_fit_pack, op10_ngram_jaccard)}
 
 
 OP3_SQL = r"""
