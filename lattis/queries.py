@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 
 from lattis.frame import Frames
 from lattis.operators import Change, cross_join, delete_rows, duplicate_keys, equi_join, semi_join, theta_join, update_rows
+from lattis.operators.extensions import anti_join, count_distinct, outer_join, rank_within, rollup_counts
 from lattis.sources.parquet import read_table
+from lattis.streaming import windowed_counts
 from lattis.types import BIGINT, DOUBLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,3 +324,37 @@ def write_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = b.execute("update duty set here = 0 where id = 2;").strip()
     a.sql("commit;")
     return a.sql("select count(*) as n from duty where here = 1;").df.select(F.lit(answer).alias("second_writer"), F.col("n").cast("int").alias("on_call"))
+
+
+# -- extensions -------------------------------------------------------------------------------------------------------
+
+
+@query("select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 200000")
+def ext_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outer_join(read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "orders").filter("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def ext_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anti_join(read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey")
+
+
+@query("select l_returnflag, count(distinct l_suppkey) as n from lineitem group by l_returnflag")
+def ext_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_distinct(read_table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_suppkey")
+
+
+@query("select s_nationkey, s_suppkey from (select *, row_number() over (partition by s_nationkey order by s_acctbal desc, s_suppkey) as r from supplier) where r <= 2")
+def ext_top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = rank_within(read_table(spark, sf_dir, "supplier"), ["s_nationkey"], [F.col("s_acctbal").desc(), F.col("s_suppkey")], "r")
+    return ranked.filter("r <= 2").select("s_nationkey", "s_suppkey")
+
+
+@query("select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)")
+def ext_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup_counts(read_table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, cast(sum(cast(value as decimal(18, 6))) as double) as total from events group by 1, 2")
+def ext_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed_counts(read_table(spark, sf_dir, "events"))
