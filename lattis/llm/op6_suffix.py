@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lattis.llm.work import by_group, groups_of, mix64, shuffle_partitions, small_batches, stash, texts
 
 LENGTH, K = 200, 32
-BLOCK, SHARD, HOT = 8_000_000, 4_000_000, 4096
+BLOCK, SHARD, HOT = 4_000_000, 1_500_000, 4096
 SPAN = LENGTH - K + 1  # K-byte strings in a window
 
 TEXTS = "block long, doc_ids array<long>, lengths binary, data binary"
@@ -79,9 +79,12 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TEXTS)
 
 
+_BYTES = mix64(np.arange(1, 257))
+
+
 def rolling(data: np.ndarray) -> np.ndarray:
     """A hash of the K bytes from each place on, by doubling: of 1, 2, 4, .. K bytes."""
-    h = mix64(data.astype(np.uint64) + np.uint64(1))
+    h = _BYTES[data]
     size = 1
     while size < K:
         h = h[:-size] * np.uint64(0x9E3779B97F4A7C15) + (h[size:] ^ (h[size:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -194,24 +197,25 @@ def contexts(blocks: DataFrame, answered: DataFrame, buckets: int, shards: int,
             totals[order[cuts[b] : cuts[b + 1]]] = _uz(counts, np.int64)
         total = totals[np.searchsorted(keys, hashes)] if len(keys) else np.zeros(0, np.int64)
         on = np.flatnonzero(total > 1)  # a window whose anchor hash stands at one place only has no equal
-        of = np.repeat(on, size[on])
-        window = np.arange(len(of)) + np.repeat(first[on] - (np.cumsum(size[on]) - size[on]), size[on])
+        of = np.repeat(on.astype(np.int32), size[on])
+        window = np.arange(len(of), dtype=np.int32) + np.repeat((first[on] - (np.cumsum(size[on]) - size[on])).astype(np.int32), size[on])
         if not len(of):
             return pa.table({f.name: pa.array([], f.type) for f in CONTEXT_SCHEMA}, schema=CONTEXT_SCHEMA)
-        key = hashes[of]
-        cut = np.concatenate([[True], (np.diff(window) != 1) | (key[1:] != key[:-1])])
-        begin = np.flatnonzero(cut)
-        run_of = np.cumsum(cut) - 1
-        cut |= (np.arange(len(cut)) - begin[run_of]) % longest == 0
+        cut = np.concatenate([[True], (np.diff(window) != 1) | (hashes[of[1:]] != hashes[of[:-1]])])
         begin = np.flatnonzero(cut)
         stop = np.append(begin[1:], len(cut))
+        long = np.flatnonzero(stop - begin > longest)
+        if len(long):  # runs over the limit are cut on
+            more = np.concatenate([np.arange(begin[k] + longest, stop[k], longest) for k in long.tolist()])
+            begin = np.sort(np.concatenate([begin, more]))
+            stop = np.append(begin[1:], len(cut))
         found: dict[tuple, int] = {}
         unique, owners, starts = [], [], []
         raw = data.tobytes()
         for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
             at = int(window[a])
             piece = raw[at : at + (b - a) + LENGTH - 1]
-            k = (int(key[a]), piece)
+            k = (int(hashes[of[a]]), piece)
             i = found.get(k)
             if i is None:
                 i = found[k] = len(unique)
@@ -260,19 +264,20 @@ def suffix_array(data: np.ndarray, rest: np.ndarray) -> np.ndarray:
     ordered = key[sa]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     del key, ordered, part
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+    sa = sa.astype(np.int32)
+    group = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    rank = np.empty(n, np.int32)
     rank[sa] = group
     h = 7
     while True:
         alone = new & np.append(new[1:], True)
-        at = np.flatnonzero(~alone)
+        at = np.flatnonzero(~alone).astype(np.int32)
         if not len(at):
             break
         sub = sa[at]
         done = rest[sub] <= h  # whole suffixes of a group are equal then: by place, for Kasai's bound to hold
         second = np.where(done, sub - n, rank[np.minimum(sub + h, n - 1)])
-        key = (group[at] << 32) + second
+        key = (group[at].astype(np.int64) << 32) + second
         order = np.argsort(key)
         key = key[order]
         sa[at] = sub[order]
@@ -288,7 +293,7 @@ def kasai(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, sa: np.ndar
     """For each place, the bytes (up to cap) that its suffix has in common with the one before it in the suffix array.
     Kasai's bound (one less than at the place before) carries along each string; all strings go side by side."""
     n = len(data)
-    prev = np.empty(n, np.int64)
+    prev = np.empty(n, np.int32)
     prev[sa[1:]] = sa[:-1]
     prev[sa[0]] = -1
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -322,11 +327,11 @@ def repeated_windows(pieces: list[bytes], depth: int = LENGTH):
     data = np.frombuffer(b"".join(pieces), np.uint8)
     ends = np.cumsum(lengths)
     begins = ends - lengths
-    rest = np.repeat(ends, lengths) - np.arange(len(data))
+    rest = (np.repeat(ends, lengths) - np.arange(len(data))).astype(np.int32)
     sa = suffix_array(data, rest)
     lcp = kasai(data, begins, lengths, sa, rest, depth)
-    klass = np.empty(len(data), np.int64)
-    klass[sa] = np.cumsum(lcp[sa] < depth)
+    klass = np.empty(len(data), np.int32)
+    klass[sa] = np.cumsum(lcp[sa] < depth, dtype=np.int32)
     windows = rest >= depth
     _, klass = np.unique(klass[windows], return_inverse=True)
     return klass, np.bincount(klass), windows
@@ -338,7 +343,7 @@ def _runs(flags: np.ndarray):
     return a, np.flatnonzero(edge == -1) - a
 
 
-def find_repeats(ctx: DataFrame, buckets: int) -> DataFrame:
+def find_repeats(ctx: DataFrame, buckets: int, parts: int) -> DataFrame:
     """kind 0: for each block, runs of windows that repeat; kind 1: a split shard's distinct windows, for merge_edges()."""
 
     def batches_of(fps: np.ndarray, sizes: np.ndarray):
@@ -355,7 +360,8 @@ def find_repeats(ctx: DataFrame, buckets: int) -> DataFrame:
         for _, table in groups_of(batches, "shard"):
             found: dict[tuple, int] = {}
             unique, where = [], []
-            for row in table.to_pylist():
+            for k in range(table.num_rows):
+                row = {c: table.column(c)[k].as_py() for c in table.column_names}
                 raw, sizes = zstandard.decompress(row["data"]), np.frombuffer(row["lengths"], np.int32)
                 ends = np.cumsum(sizes).tolist()
                 fps, many, hot = np.frombuffer(row["hashes"], np.uint64).tolist(), np.frombuffer(row["anchors"], bool).tolist(), np.frombuffer(row["hot"], bool).tolist()
@@ -423,7 +429,7 @@ def find_repeats(ctx: DataFrame, buckets: int) -> DataFrame:
                     own = by[bucket == k]
                     yield pa.RecordBatch.from_pydict({"kind": [1], "at": [k], "a": [low[own].tobytes()], "b": [high[own].tobytes()], "c": [_z(blocks[own].tobytes())], "d": [_z(starts[own].tobytes())]}, schema=schema)
 
-    return by_group(ctx, "shard", "block").mapInArrow(run, "kind int, at long, a binary, b binary, c binary, d binary")
+    return by_group(ctx, "shard", "block", parts=parts).mapInArrow(run, "kind int, at long, a binary, b binary, c binary, d binary")
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -489,6 +495,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = shuffle_partitions(spark)
     blocks = stash(text_blocks(docs), "texts")
     answered = stash(answer(ask(blocks, buckets), buckets), "anchors")
-    found = stash(find_repeats(contexts(blocks, answered, buckets, buckets), buckets), "repeats")
+    found = stash(find_repeats(contexts(blocks, answered, buckets, 2 * buckets), buckets, 2 * buckets), "repeats")
     repeats = found.filter("kind = 0").selectExpr("at AS block", "a AS firsts", "b AS runs").union(merge_edges(found.filter("kind = 1")))
     return cut(blocks, repeats)
