@@ -28,8 +28,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = op8_mix.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n"))
-    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"))
-    return repeated.select(*docs.columns)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), taken["_n"]))
+    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), copies)
+    return repeated.select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

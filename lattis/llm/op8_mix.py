@@ -3,7 +3,8 @@
 Each source gets a target (a share of all words by weight, at most `most` times its own words). A source is taken
 whole as often as it fits; the rest of its target is filled from a histogram of exact document lengths: a
 proportional part of every length first, then single documents in seeded order of lengths until less than `window`
-words are open, then a bounded-knapsack dynamic programme over the lengths left, which finds the fullest subset.
+words are open, then a bounded-knapsack dynamic programme over the lengths left, which finds the subset that comes
+nearest. Where a source is so small that this leaves over 0.1% open, the programme is over any number of copies.
 The plan says how many documents of each length are taken once more; a seeded choice then picks them. Only ids,
 sources and lengths are shuffled, and lengths are counted before the shuffle, so a hot source is one row for each
 length. Groups of equal source and length are cut into buckets of about `bucket` rows by a seeded hash: whole buckets
@@ -52,15 +53,16 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, window: int = 1 << 16) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to budget, from below, as the
-    dynamic programme can tell."""
+    """How many documents of each length to take so that their words come as near to budget as the dynamic programme
+    can tell; from below if both sides are as near."""
     take = np.zeros(len(lengths), np.int64)
     words = int((lengths * counts).sum())
     if budget <= 0 or not words:
         return take
     if budget >= words:
         return counts.copy()
-    take = np.floor(counts * (budget / words)).astype(np.int64)
+    if words > window:  # else the dynamic programme has them all, and what it finds is the best there is
+        take = np.floor(counts * (budget / words)).astype(np.int64)
     left, rest = counts - take, budget - int((lengths * take).sum())
     for i in np.random.default_rng(seed).permutation(len(lengths)):
         if rest <= window:
@@ -72,13 +74,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, window:
             break
         more = min(int(left[i]), rest // int(lengths[i]))
         take[i], left[i], rest = take[i] + more, left[i] - more, rest - more * int(lengths[i])
-    # bounded knapsack: bit s of reach is set if a sum s can be made; by[s] is the item that first made it
-    limit, reach, items = rest, 1, []
+    # bounded knapsack: bit s of reach is set if a sum s can be made; by[s] is the item that first made it. Sums over
+    # the rest count too, as the nearest one may lie there.
+    limit, reach, items = rest + min(int(lengths.max()), window), 1, []
     by = np.full(limit + 1, -1, np.int64)
     full = (1 << (limit + 1)) - 1
     for i in np.argsort(-lengths):
         n, k = min(int(left[i]), limit // int(lengths[i])), 1
-        while n and not reach >> limit & 1:
+        while n and not reach >> rest & 1:
             k = min(k, n)
             new = (reach << (k * int(lengths[i]))) & full & ~reach
             if new:
@@ -87,9 +90,11 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, window:
                 reach |= new
             items.append((int(i), k))
             n, k = n - k, 2 * k
-        if reach >> limit & 1:
+        if reach >> rest & 1:
             break
-    at = reach.bit_length() - 1
+    at, above = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1, reach >> (rest + 1)
+    if above and (over := rest + (above & -above).bit_length()) - rest < rest - at:
+        at = over
     while at:
         i, k = items[by[at]]
         take[i] += k
@@ -105,7 +110,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     per = sorted(((r["source"], int(r["size"])) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     w = [weights[i % len(weights)] for i in range(len(per))]
     want = targets([n for _, n in per], w, most)
-    plan = pd.DataFrame({"source": [s for s, _ in per], "source_size": [n for _, n in per], "target": want, "whole": [int(t // n) if n else 0 for (_, n), t in zip(per, want, strict=True)]})
     goal = {s: (n, t) for (s, n), t in zip(per, want, strict=True)}
 
     def per_source(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -113,14 +117,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
         source = pdf["source"].iloc[0]
         source_size, target = goal[None if pd.isna(source) else source]
         rest = round(target - (target // source_size) * source_size) if source_size else 0
-        took = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), rest, seed)
-        return pdf.assign(more=took)[["source", "size", "n", "more"]]
+        sizes, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        took, whole = fit(sizes, n, rest, seed), np.full(len(n), int(target // source_size))
+        if abs(rest - (took * sizes).sum()) > 0.001 * target and target <= 1 << 16:
+            # a source of few documents: any number of copies of each, up to the most
+            copies = fit(sizes, n * int(most), round(target), seed)
+            if abs(round(target) - (copies * sizes).sum()) < abs(rest - (took * sizes).sum()):
+                whole, took = copies // n, copies % n
+        return pdf.assign(whole=whole, more=took)[["source", "size", "n", "whole", "more"]]
 
     lengths = sized.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    more = stash(lengths.groupBy("source").applyInPandas(per_source, "source string, size long, n long, more long"), "mix-plan").withColumnRenamed("source", "_s").withColumnRenamed("size", "_n")
+    more = stash(lengths.groupBy("source").applyInPandas(per_source, "source string, size long, n long, whole long, more long"), "mix-plan").withColumnRenamed("source", "_s").withColumnRenamed("size", "_n")
     # the size of a bucket hangs on its group, so all rows of a group agree on it; a hot group has many buckets
     dealt = sized.join(more, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")), "left").withColumns({
-        "n": F.coalesce("n", F.lit(0)), "more": F.coalesce("more", F.lit(0)),
+        "n": F.coalesce("n", F.lit(0)), "whole": F.coalesce("whole", F.lit(0)), "more": F.coalesce("more", F.lit(0)),
     }).drop("_s", "_n").withColumn("_h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_b", F.pmod(F.col("_h"), F.ceil(F.greatest("n", F.lit(1)) / bucket)))
     edge = Window.partitionBy("source", "size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = dealt.filter("more > 0 AND more < n").groupBy("source", "size", "_b").agg(F.count(F.lit(1)).alias("_in"), F.first("more").alias("_more")).withColumn("_before", F.coalesce(F.sum("_in").over(edge), F.lit(0)))
@@ -131,7 +141,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     rank = F.row_number().over(Window.partitionBy("source", "size", "_b", F.when(at_edge, F.lit(0)).otherwise(F.col("_h"))).orderBy("_h", "doc_id"))
     ranked = joined.withColumn("_r", rank)
     picked = F.when(F.col("more") >= F.col("n"), F.col("n") > 0).when(F.col("_before").isNull(), False).when(at_edge, F.col("_before") + F.col("_r") <= F.col("more")).otherwise(True)
-    out = ranked.withColumn("_x", picked.cast("long")).select("doc_id", F.col("source").alias("source"), "size", "_x")
+    out = ranked.withColumn("_x", picked.cast("long")).select("doc_id", "source", "size", "whole", "_x")
     spark = docs.sparkSession
-    table = spark.createDataFrame([(s, int(a), float(t), int(k)) for s, a, t, k in zip(plan["source"], plan["source_size"], plan["target"], plan["whole"], strict=True)], "_s string, source_size long, target double, whole long")
+    table = spark.createDataFrame([(s, n, float(t)) for (s, n), t in zip(per, want, strict=True)], "_s string, source_size long, target double")
     return out.join(table, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("_x")).otherwise(0).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
