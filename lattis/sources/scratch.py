@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_LOCAL: list[str] = []
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the session's spark.checkpoint.dir; in a temporary folder on a machine where that is unset."""
+
+def scratch_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset and Spark
+    runs on this machine alone, a temporary folder that goes with the process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lattis-")
-    return f"{base.rstrip('/')}/lattis-{name}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="lattis-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return "file://" + _LOCAL[0]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder."""
+    return f"{scratch_base(spark)}/lattis-{name}-{uuid.uuid4().hex}"
