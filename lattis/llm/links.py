@@ -10,16 +10,18 @@ from lattis.llm.work import stash
 
 def components(edges: DataFrame) -> DataFrame:
     """id, root (the smallest id of its component) for every id in edges (a, b). No step holds a component in one
-    task: a vertex's smallest neighbour is aggregated before the shuffle, and its neighbours are joined."""
+    task: a vertex's smallest neighbour is aggregated before the shuffle and written out, so that the join with its
+    neighbours is one between two plain tables, whose hot keys Spark splits."""
     links = stash(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
         # large star: each larger neighbour of a vertex is linked to the smallest one
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        low = stash(low, "lows")
         large = both.join(low, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stash(large.filter("a <> b").distinct(), "links")
         # small star: the smaller neighbours of a vertex, and itself, are linked to the smallest one
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+        low = stash(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"), "lows")
         small = large.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
         after = stash(small.filter("a <> b").distinct(), "links")
         # converged once every vertex has one link, to a vertex that has none

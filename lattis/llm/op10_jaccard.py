@@ -20,6 +20,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -218,7 +219,8 @@ def exact_links(rows: DataFrame, least: float) -> DataFrame:
     sides, only pairs across are compared."""
 
     def run(batches):
-        hashes, num, den = _Hashes(), *least.as_integer_ratio()
+        hashes, bound = _Hashes(), Fraction(str(least))  # 0.8 is 4/5, so that a similarity of just that counts
+        num, den = bound.numerator, bound.denominator
         schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
         for _, table in groups_of(batches, "key"):
             sets, ids, sides = [], [], []

@@ -23,7 +23,7 @@ RULES: dict[str, tuple[int, str]] = {
     "few_words": (0, "n_words < 50"),
     "repeated_windows": (1, "100 * n_repeat_words > 50 * n_words"),
     "symbols": (2, "4 * n_symbols > n_words"),
-    "repeated_lines": (3, "10 * n_dup_lines > 3 * n_lines"),
+    "repeated_lines": (3, "2 * n_dup_lines > n_lines"),
     "word_length": (4, "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
     "exclamations": (5, "3 * n_exclaims > n_words"),
 }

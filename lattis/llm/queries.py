@@ -74,7 +74,7 @@ m AS (
   FROM d LEFT JOIN covered ON covered.rid = d.rid),
 f AS (
   SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-    + CASE WHEN 4 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 4 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
     + CASE WHEN 3 * n_exclaims > n_words THEN 32 ELSE 0 END AS BIGINT) AS failed
   FROM m)
@@ -83,5 +83,52 @@ FROM f
 """
 
 
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+
+def _op4_sql() -> str:
+    base = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in op4_license.BASE)
+    notices = ", ".join(f"('{label}', string_split('{notice}', ' '), string_split('{key}', ' '), {len(notice[: notice.index(key)].split())})" for label, notice, key in op4_license.TEMPLATES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+base(label, p) AS (VALUES {base}),
+notice(label, n, p, off) AS (VALUES {notices}),
+heads AS (SELECT DISTINCT p[1] AS head FROM base UNION SELECT DISTINCT p[1] FROM notice),
+spot AS (
+  SELECT rid, w, i, head FROM (SELECT rid, w, unnest(generate_series(1, len(w))) AS i FROM d) JOIN heads ON head = w[i]),
+places AS (SELECT rid, i - 1 AS i, label FROM spot JOIN base ON p[1] = head AND list_slice(w, i, i + len(p) - 1) = p),
+hits AS (SELECT rid, w, i - off AS f, label, n FROM spot JOIN notice ON p[1] = head AND list_slice(w, i, i + len(p) - 1) = p),
+scored AS (
+  SELECT rid, label, CAST(len(list_filter(generate_series(1, len(n)), lambda k: f + k - 1 >= 1 AND w[f + k - 1] = n[k])) AS DOUBLE) / len(n) AS score
+  FROM hits),
+good AS (SELECT rid, label, score FROM scored WHERE score >= 0.6),
+b AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM places GROUP BY rid),
+l AS (SELECT rid, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT rid, label FROM places UNION SELECT rid, label FROM good) GROUP BY rid),
+s AS (SELECT rid, max(score) AS score FROM (SELECT rid, 0.5 AS score FROM places UNION ALL SELECT rid, score FROM good) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)
+"""
+
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+keyed AS (SELECT doc_id, w, array_to_string(w, ' ') AS k FROM d),
+reps AS (SELECT k, min(doc_id) AS id, count(*) AS n_copies, any_value(w) AS w FROM keyed WHERE len(w) > 0 GROUP BY k),
+shingles AS (
+  SELECT DISTINCT id, CASE WHEN len(w) < 5 THEN k ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS s
+  FROM (SELECT id, k, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM reps)),
+sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(id, r) AS (SELECT id, id FROM reps UNION SELECT reached.id, edges.b FROM reached JOIN edges ON reached.r = edges.a),
+classes AS (SELECT id, min(r) AS class_id FROM reached GROUP BY id),
+degrees AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a)
+SELECT doc_id, coalesce(class_id, CASE WHEN len(keyed.w) = 0 THEN doc_id END) AS class_id, CAST(coalesce(degrees.n, 0) AS BIGINT) AS n_links, CAST(coalesce(n_copies, 1) AS BIGINT) AS n_copies
+FROM keyed LEFT JOIN reps ON reps.k = keyed.k AND len(keyed.w) > 0 LEFT JOIN classes ON classes.id = reps.id LEFT JOIN degrees ON degrees.id = reps.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_license_scan": _op4_sql(), "op10_ngram_jaccard": OP10_SQL}

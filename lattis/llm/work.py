@@ -2,45 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattis.sources.scratch import scratch_path
+
 #: A-Z to a-z; all other bytes stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: As LOWER, and all that is neither a digit, a letter nor part of a non-ASCII character becomes a space.
 ALNUM = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, as in
-    tests on one machine, a temporary folder is set for the session."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(spark, "_lattis_scratch", None)
-        if not at:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            at = spark._lattis_scratch = "file://" + tempfile.mkdtemp(prefix="lattis-")
-    return at
+#: Where this session's stashes are, for drop_scratch().
+_STASHED: list[str] = []
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/lattis/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _STASHED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete what stash() has left in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark).rstrip("/") + "/lattis")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what stash() has written; frames that read it can't be used any more."""
+    while _STASHED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STASHED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
