@@ -248,3 +248,22 @@ def test_serializable(session):
     a.sql("select * from t where id = 1;")
     b.sql("update t set v = 5 where id = 2;")  # not what a has read
     assert (a.execute("commit;"), b.execute("commit;")) == ("", "")
+
+
+def test_files_are_sorted_by_what_look_ups_use(session, tmp_path):
+    (tmp_path / "in.csv").write_text("a,b\n" + "".join(f"{i * 7919 % 5000},{i}\n" for i in range(5000)))
+    session.sql("create table t (a int, b int);")
+    for _ in range(5):
+        session.sql("select * from t where a = 3;")
+    assert session.db.advisor.sort_columns("t", ()) == ["a"]
+    session.sql(f"load {tmp_path}/in.csv into t;")
+    import pyarrow.parquet as pq
+
+    for f in session.db.table("t").files:
+        values = pq.read_table(f.removeprefix("file:"))["a"].to_pylist()
+        assert values == sorted(values)
+
+
+def test_persisted_result(session):
+    session.script("create table t (a int); insert into t values (4);")
+    assert session.sql("select * from t;").persist().rows() == [(4,)]
