@@ -93,7 +93,7 @@ def op_equi_join_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select s_suppkey, r_name from supplier cross join region")
 def op_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_join(read_table(spark, sf_dir, "supplier"), F.broadcast(read_table(spark, sf_dir, "region"))).select("s_suppkey", "r_name")
+    return cross_join(read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "region")).select("s_suppkey", "r_name")
 
 
 @query("select s_suppkey, n_nationkey from supplier join nation on s_nationkey > n_nationkey")
