@@ -1,5 +1,5 @@
 """Extensions beyond the dialect, each Spark's own operator: outer and anti joins, DISTINCT, cubes, windows, EXCEPT and
-INTERSECT. The reference dialect has none of them."""
+INTERSECT. The dialect has none of them."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Extension: the dialect's filters and groups over streams. The reference dialect has no streams."""
+"""Extension: the dialect's filters and groups over streams. The dialect has no streams."""
 
 from lattis.streaming.windows import read_events, windowed_counts
 
