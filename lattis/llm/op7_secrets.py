@@ -1,9 +1,10 @@
 """Secret scans: candidate tokens, and a random forest that drops false positives.
 
 Candidates are runs of 16 or more token characters. The forest (grown here with numpy, on the driver, from a bounded
-set of labelled findings) judges a candidate by its length, the transitions of its characters, how far dictionary
-words cover it, whether it is shaped like a path, an address or a number, and by the words next to it. The findings
-are a parameter; by default a seeded generator writes FINDINGS of them, half secrets in several formats, half look-alikes
+set of labelled findings) judges a candidate by its length, the transitions of its characters (their kinds, and how
+likely they are under a chain fitted to the findings that are no secrets), how far dictionary words cover it, whether
+it is shaped like a path, an address or a number, the path of its file (a column `path`, where docs has one) and the
+words next to it. The findings are a parameter; by default a seeded generator writes FINDINGS of them, half secrets in several formats, half look-alikes
 (paths, addresses, versions, checksums, identifiers, long words). The forest is a few kB and goes to the tasks with the
 function; texts are read once, whole, with no shuffle.
 
@@ -27,13 +28,32 @@ FINDINGS = 4000
 CANDIDATE = re.compile(rb"[A-Za-z0-9_+/=.@:\-]{16,}")
 HINTS = (b"token", b"secret", b"password", b"passwd", b"pwd", b"key", b"auth", b"bearer", b"credential", b"private", b"access")
 HARMLESS = (b"commit", b"checksum", b"sha256", b"md5", b"version", b"revision", b"file", b"path", b"url", b"mail", b"id", b"uuid", b"digest")
+SAMPLES, CONFIG = (b"test", b"example", b"sample", b"fixture", b"doc"), (b".env", b".pem", b".yml", b".yaml", b".ini", b".cfg", b".properties", b".json")
 COMMON = (b"the", b"and", b"tion", b"ing", b"ent", b"for", b"her", b"ter", b"user", b"data", b"name", b"file", b"test", b"main", b"index", b"com", b"http", b"www", b"org", b"lib", b"src", b"heit", b"keit", b"lich", b"ung", b"sch", b"mente", b"que", b"eau", b"aire", b"ado", b"ble", b"ers", b"that", b"with", b"config", b"report", b"image", b"example", b"mail")
 COLUMNS = "doc_id long, start long, length long, sha256 string, score double, is_secret boolean"
 
 
-def features(candidate: bytes, before: bytes, after: bytes) -> list[float]:
-    """What the forest sees of a candidate and the bytes next to it."""
-    n = len(candidate)
+def _symbols(candidate: bytes) -> np.ndarray:
+    """Letters as 0 to 25 in any case, digits as 26, all else as 27."""
+    return _SYMBOL[np.frombuffer(candidate, np.uint8)]
+
+
+_SYMBOL = np.full(256, 27)
+_SYMBOL[97:123], _SYMBOL[65:91], _SYMBOL[48:58] = np.arange(26), np.arange(26), 26
+
+
+def fit_transitions(candidates: list[bytes]) -> np.ndarray:
+    """Log-probabilities of a symbol after another, smoothed by one."""
+    counts = np.ones((28, 28))
+    for c in candidates:
+        s = _symbols(c)
+        np.add.at(counts, (s[:-1], s[1:]), 1)
+    return np.log(counts / counts.sum(axis=1, keepdims=True))
+
+
+def features(candidate: bytes, before: bytes, after: bytes, path: bytes, chain: np.ndarray) -> list[float]:
+    """What the forest sees of a candidate, the bytes next to it and its file's path."""
+    n, symbols = len(candidate), _symbols(candidate)
     kind = bytes(1 if 48 <= b <= 57 else 2 if 65 <= b <= 90 else 3 if 97 <= b <= 122 else 4 for b in candidate)
     share = lambda k: kind.count(k) / n
     turns = sum(a != b for a, b in zip(kind, kind[1:])) / n  # noqa: B905
@@ -50,11 +70,12 @@ def features(candidate: bytes, before: bytes, after: bytes) -> list[float]:
         candidate.count(b"/") / n, candidate.count(b".") / n, float(b"@" in candidate), float(b"://" in candidate), candidate.count(b"-") / n,
         float(any(h in near or h in low[:12] for h in HINTS)), float(any(h in near for h in HARMLESS)),
         float(before.rstrip(b" \"'`")[-1:] in (b"=", b":")), float(before[-1:] in (b'"', b"'", b"`")), float(bool(follows) and follows[0] in HARMLESS),
+        float(chain[symbols[:-1], symbols[1:]].mean()), float(any(w in path.lower() for w in SAMPLES)), float(path.lower().endswith(CONFIG)),
     ]
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[tuple[bytes, bytes, bytes, int]]:
-    """(candidate, text before, text after, 1 if it is a secret), half of them secrets."""
+def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[tuple[bytes, bytes, bytes, bytes, int]]:
+    """(candidate, text before, text after, path or empty, 1 if it is a secret), half of them secrets."""
     r = random.Random(seed)
     hexa, alnum = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     draw = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -80,7 +101,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[tuple[bytes, byt
             before = f"{word()} {r.choice(['commit', 'checksum', 'sha256', 'digest', 'revision'])} " if kind == 6 else f"{word()} {r.choice(['id', 'uuid'])} " if kind == 7 else f"{word()} {r.choice(['', '', 'file ', 'url ', 'path = ', 'the ', 'token '])}"
             after = f" {word()}"
             value = value if len(value) >= 16 else value + "".join(word() for _ in range(6))
-        out.append((value.encode(), before.encode(), after.encode(), i % 2))
+        folder, end = (r.choice(["src", "app", "conf", "deploy"]), r.choice([".env", ".yml", ".py", ".json"])) if i % 2 else (r.choice(["src", "tests", "docs", "examples"]), r.choice([".md", ".py", ".txt", ".json"]))
+        path = r.choice(["", f"{folder}/{word()}{end}"])
+        out.append((value.encode(), before.encode(), after.encode(), path.encode(), i % 2))
     return out
 
 
@@ -134,15 +157,25 @@ def vote(forest: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return total / len(forest)
 
 
-def train(findings=None, **how) -> list[np.ndarray]:
-    findings = labelled_findings() if findings is None else findings
-    return grow_forest(np.array([features(c, b, a) for c, b, a, _ in findings]), np.array([y for *_, y in findings], float), **how)
+class Model:
+    """A forest, and the chain that its transition feature needs."""
 
+    def __init__(self, findings, **how):
+        self.chain = fit_transitions([c for c, *_, y in findings if not y])
+        self.forest = grow_forest(np.array([features(*f[:4], self.chain) for f in findings]), np.array([f[4] for f in findings], float), **how)
 
-def _find(raw: list[bytes], forest) -> list[tuple[int, int, int, float]]:
+    def scores(self, found: list[tuple[bytes, bytes, bytes, bytes]]) -> np.ndarray:
+        return vote(self.forest, np.array([features(*f, self.chain) for f in found])) if found else np.zeros(0)
+
+
+def train(findings=None, **how) -> Model:
+    return Model(labelled_findings() if findings is None else findings, **how)
+
+
+def _find(raw: list[bytes], paths: list[bytes], model: Model) -> list[tuple[int, int, int, float]]:
     """(row, start, end, score) of the candidates in texts."""
     at, rows = [], []
-    for i, text in enumerate(raw):
+    for i, (text, path) in enumerate(zip(raw, paths, strict=True)):
         for m in CANDIDATE.finditer(text):
             c = m[0].rstrip(b".:,=") if not m[0].endswith(b"==") else m[0]
             eq = re.match(rb"[A-Za-z_]{2,20}[=:](?=.{12})", c)  # name=value without blanks
@@ -151,40 +184,44 @@ def _find(raw: list[bytes], forest) -> list[tuple[int, int, int, float]]:
             if len(c) < 16 or c.isalpha():
                 continue
             at.append((i, a, a + len(c)))
-            rows.append(features(c, text[max(0, a - 40) : a], text[a + len(c) : a + len(c) + 24]))
-    return [(*p, s) for p, s in zip(at, vote(forest, np.array(rows)).tolist(), strict=True)] if rows else []
+            rows.append((c, text[max(0, a - 40) : a], text[a + len(c) : a + len(c) + 24], path))
+    return [(*p, s) for p, s in zip(at, model.scores(rows).tolist(), strict=True)]
+
+
+def _paths(batch: pa.RecordBatch) -> list[bytes]:
+    return texts(batch.column("path").cast(pa.string())) if "path" in batch.schema.names else [b""] * batch.num_rows
 
 
-def scan(docs: DataFrame, forest=None, threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, model: Model | None = None, threshold: float = 0.5) -> DataFrame:
     """A row for each candidate: doc_id, its place in the text's UTF-8 bytes, the sha256 of its bytes, the forest's
     score, and is_secret (score at or over the threshold)."""
     small_batches(docs.sparkSession)
-    forest = train() if forest is None else forest
+    model = train() if model is None else model
 
     def run(batches):
         for batch in batches:
             raw, ids = texts(batch.column("text")), batch.column("doc_id").to_pylist()
-            found = _find(raw, forest)
+            found = _find(raw, _paths(batch), model)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[i] for i, *_ in found], pa.int64()), pa.array([a for _, a, _, _ in found], pa.int64()), pa.array([b - a for _, a, b, _ in found], pa.int64()),
                  pa.array([hashlib.sha256(raw[i][a:b]).hexdigest() for i, a, b, _ in found], pa.string()), pa.array([s for *_, s in found], pa.float64()), pa.array([s >= threshold for *_, s in found], pa.bool_())],
                 names=["doc_id", "start", "length", "sha256", "score", "is_secret"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, COLUMNS)
+    return docs.select("doc_id", "text", *(["path"] if "path" in docs.columns else [])).mapInArrow(run, COLUMNS)
 
 
-def redact(docs: DataFrame, forest=None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: Model | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret in text replaced by mark; n_chars, where there is one, follows."""
     small_batches(docs.sparkSession)
-    forest, mark_b = train() if forest is None else forest, mark.encode()
+    model, mark_b = train() if model is None else model, mark.encode()
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             raw = texts(batch.column(at))
             hits: dict[int, list] = {}
-            for i, a, b, s in _find(raw, forest):
+            for i, a, b, s in _find(raw, _paths(batch), model):
                 if s >= threshold:
                     hits.setdefault(i, []).append((a, b))
             if hits:
