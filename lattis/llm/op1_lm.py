@@ -1,16 +1,18 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is a smoothed bigram model whose lower order is the add-`alpha` unigram model:
-p(w | h) = (c(h w) + mu * p(w)) / (c(h) + mu). As an automaton, each word seen as a context is a state; a seen pair is
-an arc with that weight; every other word leaves by the state's failure arc, weight mu / (c(h) + mu), to the root
-state, whose arcs are the unigrams and one arc for all unknown words. Probabilities of a state sum to one. A document
-is read once from left to right; the state is carried and log10 weights are added up.
+The model is a smoothed n-gram model (n is `order`) whose lowest order is the add-`alpha` unigram model, and
+p(w | h) = (c(h w) + mu * p(w | h')) / (c(h) + mu) with h' the context h without its first word. As an automaton, each
+seen context is a state; a seen n-gram is an arc with that weight; every other word leaves by the state's failure arc,
+weight mu / (c(h) + mu), to the state h', and last to the root state, whose arcs are the unigrams and one arc for all
+unknown words. Probabilities of a state sum to one. A document is read once from left to right; the state is carried
+and log10 weights are added up.
 
 The counts cover every token of every training document, and no table of them is ever whole in one place: texts are
 coded in blocks (each input task cuts its rows to blocks of about BLOCK tokens and writes them out, so a block is
-fixed from then on); each block asks for the counts of its own distinct words and pairs, as packed 64-bit keys dealt
-to buckets by key; a bucket adds up and answers each block; the block builds the part of the automaton that its
-documents can reach. A frequent word is one key for each block, so no key is hot. Two different words or pairs of a
+fixed from then on); each block asks for the counts of its own distinct n-grams, as packed 64-bit keys dealt to
+buckets by key; a bucket adds up and answers each block; the block builds the part of the automaton that its documents
+can reach. A frequent word is one key for each block, so no key is hot. There are never more rows in this exchange than
+keys, so it stays in proportion to the input however many blocks and buckets there are. Two different n-grams of a
 corpus of n distinct ones share a key with a chance of about n * n / 3.7e19.
 
 Defined results: a null text counts as empty (one token, its end); documents with a null doc_id are training documents;
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from lattis.llm.work import LOWER, by_group, groups_of, mix64, shuffle_partitions, small_batches, stash, texts
 
 BLOCK = 3_000_000
-ALPHA, MU = 0.1, 4.0
+ALPHA, MU, ORDER = 0.1, 4.0, 2
 START, END = b" <s>", b" </s>"  # no word holds a blank
 
 CODED = "block long, doc_ids array<long>, held_out array<boolean>, lengths binary, words binary, codes binary, train_tokens long, train_docs long"
@@ -102,42 +104,63 @@ def code_blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CODED)
 
 
-def _arcs(lengths: np.ndarray, codes: np.ndarray, n_words: int):
-    """The pairs (state, word) that a block's traversals meet: sorted distinct pairs, and each token's place in them."""
-    state = np.empty_like(codes)
-    state[1:] = codes[:-1]
-    state[np.cumsum(lengths)[:-1]] = 0
-    state[0] = 0
-    return np.unique(state.astype(np.int64) * n_words + codes, return_inverse=True)
-
-
-def _keys(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Keys of the words, then of the pairs."""
-    h, w = np.divmod(pairs, len(words))
-    return np.concatenate([mix64(words ^ np.uint64(0x5851F42D4C957F2D)), mix64(words[h] * np.uint64(0x9E3779B97F4A7C15) + mix64(words[w]))])
-
-
-def _row(row: dict):
+class Grams:
+    """The n-grams that a block's traversals meet. For each length: which one ends at each token (-1: the text has begun
+    too lately for one), their number, and of each its context (one of the length below), its last word and the n-gram
+    without its first word. The context of a text's first word is the start."""
+
+    def __init__(self, lengths: np.ndarray, codes: np.ndarray, n_words: int, order: int):
+        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        self.place, self.sizes, self.context, self.word, self.lower = [codes], [n_words], [None], [np.arange(n_words)], [None]
+        for n in range(2, order + 1):
+            before = self.place[-1]
+            context = np.empty(len(codes), np.int64)
+            context[1:] = before[:-1]
+            context[begins] = 0 if n == 2 else -1
+            on = np.flatnonzero(context >= 0)
+            distinct, first, inverse = np.unique(context[on] * n_words + codes[on], return_index=True, return_inverse=True)
+            place = np.full(len(codes), -1, np.int32)
+            place[on] = inverse
+            h, w = np.divmod(distinct, n_words)
+            self.place.append(place)
+            self.sizes.append(len(distinct))
+            self.context.append(h)
+            self.word.append(w)
+            self.lower.append(before[on[first]])
+
+    def keys(self, words: np.ndarray) -> np.ndarray:
+        """Keys of all of them, the words' first."""
+        out, hashed = [mix64(words ^ np.uint64(0x5851F42D4C957F2D))], words
+        for n in range(1, len(self.sizes)):
+            hashed = mix64(hashed[self.context[n]] * np.uint64(0x9E3779B97F4A7C15) + mix64(words[self.word[n]]) + np.uint64(n - 1))
+            out.append(hashed)
+        return np.concatenate(out)
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """How often each of them ends at a token for which train holds."""
+        return np.concatenate([np.bincount(p[train & (p >= 0)], minlength=k) for p, k in zip(self.place, self.sizes, strict=True)])
+
+
+def _row(row: dict, order: int):
     lengths, words, codes = np.frombuffer(row["lengths"], np.int32), np.frombuffer(row["words"], np.uint64), _unpack(row["codes"], np.int32)
-    return lengths, words, codes, *_arcs(lengths, codes, len(words))
+    return lengths, words, codes, Grams(lengths, codes, len(words), order)
 
 
-def ask(coded: DataFrame, buckets: int) -> DataFrame:
-    """For each block and bucket: keys of the block's words and pairs, and how often its training documents hold them."""
+def ask(coded: DataFrame, buckets: int, order: int) -> DataFrame:
+    """For each block and bucket: keys of the block's n-grams, and how often its training documents hold them."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                lengths, words, codes, pairs, place = _row(row)
-                train = np.repeat(~np.array(row["held_out"], bool), lengths)
-                counts = np.concatenate([np.bincount(codes[train], minlength=len(words)), np.bincount(place[train], minlength=len(pairs))])
-                keys = _keys(words, pairs)
+                lengths, words, codes, grams = _row(row, order)
+                counts = grams.counts(np.repeat(~np.array(row["held_out"], bool), lengths))
+                keys = grams.keys(words)
                 at = (keys % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                cuts = np.searchsorted(at[order], np.arange(buckets + 1))
+                by = np.argsort(at, kind="stable")
+                cuts = np.searchsorted(at[by], np.arange(buckets + 1))
                 for b in range(buckets):
-                    own = order[cuts[b] : cuts[b + 1]]
+                    own = by[cuts[b] : cuts[b + 1]]
                     if len(own):
                         yield pa.RecordBatch.from_pydict(
                             {"bucket": [b], "block": [row["block"]], "n_words": [int((own < len(words)).sum())], "keys": [keys[own].tobytes()], "counts": [_pack(counts[own])]},
@@ -173,23 +196,30 @@ def answer(asked: DataFrame, buckets: int) -> DataFrame:
 
 
 class Automaton:
-    """The states and arcs that a block can reach. States are word codes, the root has no code."""
-
-    def __init__(self, word_counts, pairs, pair_counts, total: int, types: int, starts: int, alpha: float, mu: float):
-        self.root = np.log10((word_counts + alpha) / (total + alpha * (types + 1)))  # the root's arcs
-        seen = word_counts.astype(np.float64)
-        seen[0], seen[1] = starts, 0  # contexts: the start once a document, the end never
-        self.fail = np.log10(mu / (seen + mu))
-        h, w = np.divmod(pairs, len(word_counts))
-        self.arc = np.where(pair_counts > 0, np.log10((pair_counts + mu * 10 ** self.root[w]) / (seen[h] + mu)), self.fail[h] + self.root[w])
-
-    def traverse(self, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Each document's sum of the weights on its path; place: the arc that each token takes from the state that
-        the token before it has left."""
-        return np.add.reduceat(self.arc[place], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-
-
-def score(docs: DataFrame, alpha: float = ALPHA, mu: float = MU) -> DataFrame:
+    """The arcs that a block can reach: arcs[0] are the root's, by word; arcs[n - 1] the weights, failure arcs and all, of
+    the paths on which the n-grams of length n are read."""
+
+    def __init__(self, grams: Grams, counts: np.ndarray, total: int, types: int, starts: int, alpha: float, mu: float):
+        by_length = np.split(counts, np.cumsum(grams.sizes)[:-1])
+        self.grams, self.root = grams, np.log10((by_length[0] + alpha) / (total + alpha * (types + 1)))
+        self.arcs = [self.root]
+        for n in range(1, len(grams.sizes)):
+            seen = by_length[n - 1].astype(np.float64)
+            if n == 1:
+                seen[0], seen[1] = starts, 0  # as contexts: the start once a document, the end never
+            lower, state, count = self.arcs[-1][grams.lower[n]], seen[grams.context[n]], by_length[n]
+            self.arcs.append(np.where(count > 0, np.log10((count + mu * 10**lower) / (state + mu)), np.log10(mu / (state + mu)) + lower))
+
+    def traverse(self, lengths: np.ndarray) -> np.ndarray:
+        """Each document's sum of the weights on its path: at each token, of the longest n-gram that the state allows."""
+        weights = self.arcs[0][self.grams.place[0]]
+        for place, arcs in zip(self.grams.place[1:], self.arcs[1:], strict=True):
+            on = place >= 0
+            weights[on] = arcs[place[on]]
+        return np.add.reduceat(weights, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+
+
+def score(docs: DataFrame, alpha: float = ALPHA, mu: float = MU, order: int = ORDER) -> DataFrame:
     """Scores of all documents by the model of those that aren't held out."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -197,26 +227,26 @@ def score(docs: DataFrame, alpha: float = ALPHA, mu: float = MU) -> DataFrame:
     totals = coded.agg(F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("d")).first()
     total, starts = int(totals["n"] or 0), int(totals["d"] or 0)
     buckets = shuffle_partitions(spark)
-    answered = stash(answer(ask(coded, buckets), buckets), "lm-counts")
+    answered = stash(answer(ask(coded, buckets, order), buckets), "lm-counts")
     per_bucket = answered.groupBy("bucket").agg(F.max("n_types").alias("n"))
     types = int(per_bucket.agg(F.sum("n")).first()[0] or 0)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        lengths, words, codes, pairs, place = _row(row)
-        counts = np.zeros(len(words) + len(pairs), np.int64)
-        at = (_keys(words, pairs) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(buckets + 1))
+        lengths, words, codes, grams = _row(row, order)
+        counts = np.zeros(sum(grams.sizes), np.int64)
+        at = (grams.keys(words) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[by], np.arange(buckets + 1))
         for b, data in zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True):
-            counts[order[cuts[b] : cuts[b + 1]]] = _unpack(data, np.int64)
-        auto = Automaton(counts[: len(words)], pairs, counts[len(words) :], total, types, starts, alpha, mu)
+            counts[by[cuts[b] : cuts[b + 1]]] = _unpack(data, np.int64)
+        auto = Automaton(grams, counts, total, types, starts, alpha, mu)
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         n = len(lengths)
         return pa.table({
             "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": pa.array(lengths, pa.int64()),
-            "n_known": pa.array(np.add.reduceat((counts[codes] > 0).astype(np.int64), first)), "train_tokens": pa.array(np.full(n, total, np.int64)),
-            "base_score": pa.array(np.add.reduceat(auto.root[codes], first)), "score": pa.array(auto.traverse(place, lengths)),
+            "n_known": pa.array(np.add.reduceat((counts[: len(words)][codes] > 0).astype(np.int64), first)), "train_tokens": pa.array(np.full(n, total, np.int64)),
+            "base_score": pa.array(np.add.reduceat(auto.root[codes], first)), "score": pa.array(auto.traverse(lengths)),
         })
 
     return coded.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -12,25 +12,28 @@ from lattis.llm import op1_lm, op2_cotrain, op7_secrets
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def brute_lm(pairs):
+def brute_lm(pairs, order=2):
     words = [(d, (t or "").encode().translate(LOWER).split() + ["end"]) for d, t in pairs]
     held = [d is not None and zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in words]
-    one, two, docs = Counter(), Counter(), 0
+    counts, docs = Counter(), 0
     for (_, w), h in zip(words, held, strict=True):
         if not h:
-            one.update(w)
-            two.update(zip(["start", *w[:-1]], w, strict=True))
+            w = ["start", *w]
+            counts.update(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(n > 1 and 0, len(w) - n + 1) if n > 1 or i)
             docs += 1
-    n, v = sum(one.values()), len(one)
-    p = lambda x: (one[x] + 0.1) / (n + 0.1 * (v + 1))
+    total, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+
+    def p(h, x):
+        if not h:
+            return (counts[(x,)] + 0.1) / (total + 0.1 * (v + 1))
+        c = docs if h == ("start",) else counts[h]
+        return (counts[(*h, x)] + 4 * p(h[1:], x)) / (c + 4)
+
     out = []
     for (d, w), h in zip(words, held, strict=True):
-        score, before = 0.0, "start"
-        for x in w:
-            c = docs if before == "start" else one[before]
-            score += math.log10((two[(before, x)] + 4 * p(x)) / (c + 4))
-            before = x
-        out.append((d, h, len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), score))
+        path = ["start", *w]
+        score = sum(math.log10(p(tuple(path[max(0, i - order + 1) : i]), path[i])) for i in range(1, len(path)))
+        out.append((d, h, len(w), sum(counts[(x,)] > 0 for x in w), total, sum(math.log10(p((), x)) for x in w), score))
     return out
 
 
@@ -45,7 +48,9 @@ def same(got, want):
 def test_lm_scores(docs, odd, monkeypatch, block):
     monkeypatch.setattr(op1_lm, "BLOCK", block)
     for df in (docs, odd):
-        same([tuple(r) for r in op1_lm.score(df).collect()], brute_lm([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]))
+        pairs = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+        for order in (2, 1) if block > 3000 else (2, 3, 4):
+            same([tuple(r) for r in op1_lm.score(df, order=order).collect()], brute_lm(pairs, order))
 
 
 def test_lm_empty(empty):
@@ -53,15 +58,20 @@ def test_lm_empty(empty):
 
 
 def test_lm_states_sum_to_one():
-    counts = np.array([0, 3, 5, 2])  # start, end, two words
-    pairs = np.array([0 * 4 + 2, 2 * 4 + 1, 2 * 4 + 2, 2 * 4 + 3])
-    arcs = np.array([3, 1, 2, 2])
-    a = op1_lm.Automaton(counts, pairs, arcs, 10, 3, 3, 0.1, 4.0)
-    p1 = np.append(10 ** a.root[1:], 0.1 / (10 + 0.1 * 4))  # and the unknown word
-    assert abs(p1.sum() - 1) < 1e-12
-    seen = {1: 10 ** a.arc[1], 2: 10 ** a.arc[2], 3: 10 ** a.arc[3]}
-    unseen = 10 ** (a.fail[2]) * p1[-1]
-    assert abs(sum(seen.values()) + unseen - 1) < 1e-12
+    codes = np.array([2, 3, 2, 1, 2, 1, 3, 3, 1], np.int32)  # three texts over two words; 1 is the end
+    lengths = np.array([4, 2, 3], np.int32)
+    grams = op1_lm.Grams(lengths, codes, 4, 3)
+    counts = grams.counts(np.ones(9, bool))
+    a = op1_lm.Automaton(grams, counts, 9, 3, 3, 0.1, 4.0)
+    unknown = 0.1 / (9 + 0.1 * 4)
+    assert abs((10 ** a.root[1:]).sum() + unknown - 1) < 1e-12
+    for n in (1, 2):
+        for state in set(grams.context[n].tolist()):
+            own = np.flatnonzero(grams.context[n] == state)
+            below = a.arcs[n - 1][grams.lower[n][own]]
+            # what the seen arcs leave is what the failure arc spreads over the state below
+            seen = (counts[:4] if n == 1 else counts[4 : 4 + grams.sizes[1]])[state] if (n, state) != (1, 0) else 3
+            assert abs((10 ** a.arcs[n][own]).sum() - (counts[4 if n == 1 else 4 + grams.sizes[1] :][own].sum() + 4 * (10**below).sum()) / (seen + 4)) < 1e-12
 
 
 def test_lm_predicts_better_than_its_base(docs):
