@@ -50,7 +50,7 @@ def group_order(df: DataFrame, order: list[tuple[str, bool]]) -> tuple[DataFrame
     keys = [F.col(f"`{c}`") for c, _ in order]
     if len(down) == 1:
         pick = F.max if down == {True} else F.min
-        return df, pick(F.struct(*keys)), down == {True}
+        return df, pick(keys[0] if len(keys) == 1 else F.struct(*keys)), down == {True}
     flipped = [(F.col(f"`{c}`"), d, dict(df.dtypes)[c]) for c, d in order]
     if all(not d or t in ("int", "bigint", "float", "double") for _, d, t in flipped):
         return df, F.min(F.struct(*[-c.cast("double" if t in ("float", "double") else "bigint") if d else c for c, d, t in flipped])), False
