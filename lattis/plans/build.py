@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattis.errors import ColumnNotFound, EngineError
-from lattis.operators import Aggregate, compare, conjunction, cross_join, filter_rows, global_aggregate, group_order, limit, order_by, semi_join, top_k, union_distinct
+from lattis.operators import Aggregate, compare, conjunction, cross_join, filter_rows, global_aggregate, group_order, limit, order_by, semi_join, theta_join, top_k, union_distinct
 from lattis.plans.checks import Scope, Source, grouped, having_value
 from lattis.plans.dialect import Agg, Col, Cond, Derived, Item, Ref, Select
 from lattis.types import Lit, SqlType, literal
@@ -79,11 +79,7 @@ class Builder:
         for s in sources:
             if s.table:
                 reads.append((s.table, [c for c in where if {x.table for x in (c.left, c.right) if isinstance(x, Col)} == {s.alias}]))
-        df = frames[0]
-        if len(frames) > 1:  # a cross join and its conditions: Catalyst makes equi-joins and pushes filters
-            for right in frames[1:]:
-                df = cross_join(df, right.hint(self.hint) if self.hint else right)
-        df = filter_rows(df, [self.predicate(scope, c) for c in where])
+        df = self.join(scope, sources, frames, where)
         if q.semi:
             ref, on = q.semi
             right, rdf = self.source(ref, len(q.refs))
@@ -98,6 +94,21 @@ class Builder:
         out.reads = reads
         return out
 
+    def join(self, scope: Scope, sources: list[Source], frames: list[DataFrame], where: list[Cond]) -> DataFrame:
+        """The frames left to right, each condition at the first join that has its columns; Catalyst pushes and infers
+        filters, and picks the sides and algorithms. A frame without a condition is crossed."""
+        place = {s.alias: i for i, s in enumerate(sources)}
+        step = [[] for _ in frames]
+        for c in where:
+            step[max(place[x.table] for x in (c.left, c.right) if isinstance(x, Col))].append(c)
+        df = filter_rows(frames[0], [self.predicate(scope, c) for c in step[0]])
+        for i, right in enumerate(frames[1:], 1):
+            across = [self.predicate(scope, c) for c in step[i] if isinstance(c.right, Col) and c.left.table != c.right.table]
+            own = [self.predicate(scope, c) for c in step[i] if not (isinstance(c.right, Col) and c.left.table != c.right.table)]
+            right = filter_rows(right.hint(self.hint) if self.hint else right, own)
+            df = theta_join(df, right, conjunction(across)) if across else cross_join(df, right)
+        return df
+
     def plain(self, q: Select, items: list[Item], df: DataFrame, scope: Scope) -> Query:
         named = {i.alias: i.value for i in items if i.alias}
         order = []
