@@ -159,6 +159,7 @@ def candidates(reps: DataFrame, runs: int, cut: float) -> DataFrame:
         members = stash(members, "paths")
         # the hub is the smallest id XOR key: another one for each node, and its minimum is taken before the shuffle
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("m")).filter("n > 1").select(F.col("key").alias("k"), "n", F.col("m").bitwiseXOR(F.col("key")).alias("hub"))
+        sizes = stash(sizes, "sizes")  # written, so that the join is one of two plain tables and a hot key's rows are split
         shared = stash(members.join(sizes, F.col("key") == F.col("k")).drop("k"), "buckets")
         small = shared.filter(F.col("n") <= LIMIT).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids")
         groups = small if groups is None else groups.union(small)
