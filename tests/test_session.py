@@ -267,3 +267,19 @@ def test_files_are_sorted_by_what_look_ups_use(session, tmp_path):
 def test_persisted_result(session):
     session.script("create table t (a int); insert into t values (4);")
     assert session.sql("select * from t;").persist().rows() == [(4,)]
+
+
+def test_append(session, spark):
+    session.script("create table t (a int, c char(3)); create index t(a);")
+    session.append("t", spark.createDataFrame([("x", 1), ("yz", 2)], "c string, a long"))
+    assert sorted(session.sql("select * from t;").rows()) == [(1, "x"), (2, "yz")]
+    for rows in ([("x", 2)], [("long", 3)], [(None, 3)], [("x", 2**40)]):
+        with pytest.raises(EngineError):
+            session.append("t", spark.createDataFrame(rows, "c string, a long"))
+    with pytest.raises(ValueCountMismatch):
+        session.append("t", spark.createDataFrame([(1,)], "a int"))
+    session.sql("begin;")
+    session.append("t", spark.createDataFrame([("n", 9)], "c string, a int"))
+    assert session.sql("select count(*) as n from t;").rows() == [(3,)]
+    session.sql("abort;")
+    assert session.sql("select count(*) as n from t;").rows() == [(2,)]
