@@ -76,7 +76,7 @@ def _logit(x, beta):
 def _sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int):
     """Features of the labelled sample and of the unlabelled pool, on the driver; both are bounded."""
     given = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    ids = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool)
+    ids = docs.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool)  # a top-k: no shuffle of ids
     chosen = ids.select("doc_id", F.lit(None).cast("int").alias("y")).union(given.select("doc_id", F.col("y").cast("int"))).groupBy("doc_id").agg(F.max("y").alias("y"))
 
     def run(batches):
