@@ -184,7 +184,7 @@ def answer(asked: DataFrame, buckets: int) -> DataFrame:
     return by_group(asked, "bucket", "block", parts=buckets).mapInArrow(run, ANSWERED)
 
 
-def contexts(blocks: DataFrame, answered: DataFrame, buckets: int, shards: int, longest: int = 4096) -> DataFrame:
+def contexts(blocks: DataFrame, answered: DataFrame, buckets: int, shards: int, longest: int = 512) -> DataFrame:
     """The contexts of each block, each distinct one once with the places it stands at, dealt to shards."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -333,7 +333,10 @@ def repeated_windows(pieces: list[bytes], depth: int = LENGTH):
     klass = np.empty(len(data), np.int32)
     klass[sa] = np.cumsum(lcp[sa] < depth, dtype=np.int32)
     windows = rest >= depth
-    _, klass = np.unique(klass[windows], return_inverse=True)
+    klass = klass[windows]
+    used = np.zeros(len(data) + 1, bool)
+    used[klass] = True
+    klass = (np.cumsum(used) - 1)[klass]
     return klass, np.bincount(klass), windows
 
 
