@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lattis.llm.work import LOWER, by_group, groups_of, mix64, shuffle_partitions, small_batches, stash, texts
 
-BLOCK = 3_000_000
+BLOCK = 1_200_000
 ALPHA, MU, ORDER = 0.1, 4.0, 2
 START, END = b" <s>", b" </s>"  # no word holds a blank
 
@@ -170,7 +170,7 @@ def ask(coded: DataFrame, buckets: int, order: int) -> DataFrame:
     return coded.select("block", "held_out", "lengths", "words", "codes").mapInArrow(run, ASKED)
 
 
-def answer(asked: DataFrame, buckets: int) -> DataFrame:
+def answer(asked: DataFrame, parts: int) -> DataFrame:
     """For each question, the sums of the counts of its keys over all blocks, and the words known in the bucket."""
 
     def run(batches):
@@ -192,7 +192,7 @@ def answer(asked: DataFrame, buckets: int) -> DataFrame:
                     schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n_types", pa.int64()), ("counts", pa.binary())]),
                 )
 
-    return by_group(asked, "bucket", "block", parts=buckets).mapInArrow(run, ANSWERED)
+    return by_group(asked, "bucket", "block", parts=parts).mapInArrow(run, ANSWERED)
 
 
 class Automaton:
@@ -226,8 +226,9 @@ def score(docs: DataFrame, alpha: float = ALPHA, mu: float = MU, order: int = OR
     coded = stash(code_blocks(docs), "lm-blocks")
     totals = coded.agg(F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("d")).first()
     total, starts = int(totals["n"] or 0), int(totals["d"] or 0)
-    buckets = shuffle_partitions(spark)
-    answered = stash(answer(ask(coded, buckets, order), buckets), "lm-counts")
+    parts = shuffle_partitions(spark)
+    buckets = 3 * parts  # several to a task, as they are dealt by hash: the fullest task is then nearer to the mean
+    answered = stash(answer(ask(coded, buckets, order), parts), "lm-counts")
     per_bucket = answered.groupBy("bucket").agg(F.max("n_types").alias("n"))
     types = int(per_bucket.agg(F.sum("n")).first()[0] or 0)
 
