@@ -283,3 +283,14 @@ def test_append(session, spark):
     assert session.sql("select count(*) as n from t;").rows() == [(3,)]
     session.sql("abort;")
     assert session.sql("select count(*) as n from t;").rows() == [(2,)]
+
+
+def test_explain_of_semi_join_and_union(session):
+    session.script("create table a (id int, v int); create table b (id int, w int);" + "".join(f"insert into a values ({i}, {i}); insert into b values ({i * 2}, {i});" for i in range(4)))
+    assert session.execute("explain select a.v from a semi join b on a.id = b.id where a.v > 0;").splitlines() == [
+        "Project(columns=[a.v], rows=1)", "\tSemiJoin(tables=[a, b], condition=[a.id=b.id], rows=1)", "\t\tProject(columns=[a.id, a.v], rows=3)",
+        "\t\t\tFilter(condition=[a.v>0], rows=3)", "\t\t\t\tScan(table=a, type=SeqScan, rows=4)", "\t\tProject(columns=[b.id], rows=12)", "\t\t\tScan(table=b, type=SeqScan, rows=12)"]
+    assert session.execute("explain select * from (select id from a union select id from b) u where id > 2 order by id limit 2;").splitlines() == [
+        "Project(columns=[*], rows=2)", "\tFilter(condition=[u.id>2], rows=3)", "\t\tUnion(branches=2, rows=6)", "\t\t\tProject(columns=[a.id], rows=4)",
+        "\t\t\t\tScan(table=a, type=SeqScan, rows=4)", "\t\t\tProject(columns=[b.id], rows=4)", "\t\t\t\tScan(table=b, type=SeqScan, rows=4)"]
+    assert session.execute("explain select zz from a;") == session.execute("explain select id from nowhere;") == "failure\n"
