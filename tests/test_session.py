@@ -294,3 +294,25 @@ def test_explain_of_semi_join_and_union(session):
         "Project(columns=[*], rows=2)", "\tFilter(condition=[u.id>2], rows=3)", "\t\tUnion(branches=2, rows=6)", "\t\t\tProject(columns=[a.id], rows=4)",
         "\t\t\t\tScan(table=a, type=SeqScan, rows=4)", "\t\t\tProject(columns=[b.id], rows=4)", "\t\t\t\tScan(table=b, type=SeqScan, rows=4)"]
     assert session.execute("explain select zz from a;") == session.execute("explain select id from nowhere;") == "failure\n"
+
+
+def test_two_processes_do_not_overwrite_each_other(session, spark):
+    session.script("create table t (a int);")
+    other = Session(Database(spark, session.db.folder.path))
+    session.sql("insert into t values (1);")
+    assert other.execute("insert into t values (2);") == "abort\n"  # it hasn't seen the version that is there
+    other.db.refresh()
+    other.sql("insert into t values (2);")
+    session.db.refresh()
+    assert sorted(session.sql("select * from t;").rows()) == sorted(other.sql("select * from t;").rows()) == [(1,), (2,)]
+
+
+def test_row_ids_stay_unique_after_a_restart(session, spark, tmp_path):
+    (tmp_path / "in.csv").write_text("a\n" + "".join(f"{i}\n" for i in range(1500)))
+    session.script(f"create table t (a int); load {tmp_path}/in.csv into t; insert into t values (5000);")
+    again = Session(Database(spark, session.db.folder.path))
+    again.sql("insert into t values (5001);")
+    again.sql(f"load {tmp_path}/in.csv into t;")
+    rows = again.db.rows(again.db.table("t"))
+    assert rows.count() == rows.select(RID).distinct().count() == 3002
+    assert again.db.next_rid < 1 << 45
