@@ -316,3 +316,10 @@ def test_row_ids_stay_unique_after_a_restart(session, spark, tmp_path):
     rows = again.db.rows(again.db.table("t"))
     assert rows.count() == rows.select(RID).distinct().count() == 3002
     assert again.db.next_rid < 1 << 45
+
+
+def test_insert_and_delete_in_one_transaction(session):
+    session.script("create table t (a int, b int); begin; insert into t values (1, 1); update t set b = 2 where a = 1; delete from t where b = 2; insert into t values (3, 3); commit; create static_checkpoint;")
+    assert session.sql("select * from t;").rows() == [(3, 3)]
+    session.script("begin; update t set b = 4; update t set b = 5; commit; create static_checkpoint; delete from t; create static_checkpoint; create static_checkpoint;")
+    assert session.sql("select * from t;").rows() == []
