@@ -13,7 +13,8 @@ gives the links, their number for each text, and the classes (components of link
 Defined results: doc_id, class_id (smallest doc_id of its class), n_links (different texts that this one is linked with),
 n_copies (rows with the same words, itself included), a row for each row of docs. Texts with fewer than five words are
 one shingle; texts without words (null texts too) are classes of their own, with no links and n_copies 1. Rows with a
-null doc_id get the class of their text, null if all of it have null ids. Repeated rows are copies. Extra columns are
+null doc_id get the class of their text, null if all of it have null ids. Repeated rows are copies; different
+texts under one doc_id are taken for one document with the class of the first of them. Extra columns are
 ignored; an empty table gives an empty result.
 """
 
