@@ -233,3 +233,13 @@ def test_pipeline_edges(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             at = stage(spark, at, "")
         at.collect()
+
+
+def test_one_id_with_different_texts(spark):
+    """No crash, a row for each row, and texts of other ids keep their links."""
+    near = near_copies(3, 150, 9)[:3]
+    other = " ".join(f"q{i}" for i in range(150))
+    df = spark.createDataFrame([*near, (0, other), (77, other)], "doc_id long, text string")
+    got = sort(map(tuple, op10_jaccard.join(df).collect()))
+    assert len(got) == 5 and {r[1] for r in got if r[0] in (0, 1, 2, 77)} == {0}
+    assert op10_jaccard.dedupe(df).select("doc_id").distinct().count() == 1
