@@ -1,11 +1,12 @@
 """Secret scans: candidate tokens, and a random forest that drops false positives.
 
-Candidates are runs of 16 or more token characters. The forest (grown here with numpy, on the driver, from a bounded
+Candidates are runs of 16 or more token characters, of letters alone too, and runs of any length right after a hint word
+with = or : (`passwd: "x7Kq2mP9"`; to the closing quote or the next blank, bracket, comma or parameter). The forest (grown here with numpy, on the driver, from a bounded
 set of labelled findings) judges a candidate by its length, the transitions of its characters (their kinds, and how
 likely they are under a chain fitted to the findings that are no secrets), how far dictionary words cover it, whether
 it is shaped like a path, an address or a number, the path of its file (a column `path`, where docs has one) and the
 words next to it. The findings are a parameter; by default a seeded generator writes FINDINGS of them, half secrets in several formats, half look-alikes
-(paths, addresses, versions, checksums, identifiers, long words). The forest is a few kB and goes to the tasks with the
+(paths, addresses, versions, checksums, identifiers, long words, and literals, calls, counts or prose after a hint word). The forest is a few kB and goes to the tasks with the
 function; texts are read once, whole, with no shuffle.
 
 Defined results: a null text has no findings and stays null when redacted; doc_id is carried as it is; repeated rows give
@@ -30,6 +31,14 @@ HINTS = (b"token", b"secret", b"password", b"passwd", b"pwd", b"key", b"auth", b
 HARMLESS = (b"commit", b"checksum", b"sha256", b"md5", b"version", b"revision", b"file", b"path", b"url", b"mail", b"id", b"uuid", b"digest")
 SAMPLES, CONFIG = (b"test", b"example", b"sample", b"fixture", b"doc"), (b".env", b".pem", b".yml", b".yaml", b".ini", b".cfg", b".properties", b".json")
 COMMON = (b"the", b"and", b"tion", b"ing", b"ent", b"for", b"her", b"ter", b"user", b"data", b"name", b"file", b"test", b"main", b"index", b"com", b"http", b"www", b"org", b"lib", b"src", b"heit", b"keit", b"lich", b"ung", b"sch", b"mente", b"que", b"eau", b"aire", b"ado", b"ble", b"ers", b"that", b"with", b"config", b"report", b"image", b"example", b"mail")
+#: An assignment; a hint word in the name before it; the value after it, quoted or not.
+ASSIGN = re.compile(rb"[=:]+>?")
+NAME = re.compile(rb"([A-Za-z0-9_.\-]+)[\"'`\])]*\s*$")
+VALUE = re.compile(rb"\s{0,8}(?:(?:bearer|basic|token)\s+)?(?:[brfu]{0,2}([\"'`])([^\s\"'`]+)(?=\1)|[\"'`]?((?:(?!&\w+=)[^\s\"'`<>,;(){}\[\]])+))", re.I)
+STRONG = (b"password", b"passwd", b"passphrase", b"pwd", b"secret")
+NAMES = (*HINTS, b"passphrase")
+LITERALS = {b"true", b"false", b"none", b"null", b"nil", b"yes", b"no", b"on", b"off", b"string", b"str", b"bytes", b"int", b"required", b"optional", b"undefined", b"todo", b"empty", b"hidden", b"invalid", b"missing", b"expired", b"xxx", b"self", b"this", b"the", b"a", b"is", b"not", b"it", b"to", b"see", b"bearer", b"basic"}
+WORDS = (b"answer", b"bridge", b"castle", b"dragon", b"summer", b"winter", b"monkey", b"horse", b"battery", b"staple", b"correct", b"garden", b"window", b"silver", b"coffee", b"orange", b"river", b"planet", b"shadow", b"welcome", b"geschwindigkeit", b"verantwortung", b"wissenschaft", b"entwicklung", b"gesellschaft", b"lebensmittel", b"versicherung", b"straight", b"understanding", b"international", b"responsibility", b"administration", b"communication", b"characteristic", b"developpement", b"gouvernement", b"particulierement", b"conocimiento", b"desarrollo", b"responsabilidad", b"universidad", b"internacional")
 COLUMNS = "doc_id long, start long, length long, sha256 string, score double, is_secret boolean"
 
 
@@ -65,12 +74,17 @@ def features(candidate: bytes, before: bytes, after: bytes, path: bytes, chain:
     counts = np.unique(np.frombuffer(candidate, np.uint8), return_counts=True)[1] / n
     near = b" ".join(re.findall(rb"[a-z0-9_]+", before.lower())[-3:])
     follows = re.findall(rb"[a-z]+", after.lower())[:1]
+    name = NAME.search(before.rstrip(b" \t\"'`=:>")) if before.rstrip(b" \t\"'`>")[-1:] in (b"=", b":") else None
+    name = name[1].lower() if name else b""
+    covered_by_words = sum(low.count(w) * len(w) for w in WORDS)
     return [
         n, share(1), share(2), share(3), share(4), turns, vowels, hexes, min(1.0, covered / n), float(-(counts * np.log2(counts)).sum()),
         candidate.count(b"/") / n, candidate.count(b".") / n, float(b"@" in candidate), float(b"://" in candidate), candidate.count(b"-") / n,
         float(any(h in near or h in low[:12] for h in HINTS)), float(any(h in near for h in HARMLESS)),
         float(before.rstrip(b" \"'`")[-1:] in (b"=", b":")), float(before[-1:] in (b'"', b"'", b"`")), float(bool(follows) and follows[0] in HARMLESS),
-        float(chain[symbols[:-1], symbols[1:]].mean()), float(any(w in path.lower() for w in SAMPLES)), float(path.lower().endswith(CONFIG)),
+        float(chain[symbols[:-1], symbols[1:]].mean()) if n > 1 else 0.0, float(any(w in path.lower() for w in SAMPLES)), float(path.lower().endswith(CONFIG)),
+        float(any(h in name for h in STRONG)), float(any(h in name for h in NAMES)), float(low in LITERALS), float(after[:1] == b"("), min(1.0, covered_by_words / n),
+        float(before[-1:] == b" " and bool(re.match(rb"\W? ?[a-z]", after))), float(any(w in low for w in (b"your", b"change", b"env", b"get", b"config", b"${"))),
     ]
 
 
@@ -81,13 +95,39 @@ def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[tuple[bytes, byt
     draw = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     word = lambda: "".join(r.choice(COMMON).decode() for _ in range(r.randint(1, 3)))
     out = []
+    real = lambda: r.choice(WORDS).decode()
+    letters = alnum[:52]
     for i in range(n):
-        if i % 2:
-            value = r.choice([lambda: draw(hexa, r.choice([32, 40, 64])), lambda: draw(alnum, r.randint(20, 48)), lambda: "AKIA" + draw(alnum[26:], 16), lambda: "ghp_" + draw(alnum, 36), lambda: "sk-" + draw(alnum, 40), lambda: draw(alnum + "+/", r.randint(24, 60)) + "=" * r.randint(0, 2)])()
+        short = i % 8 >= 6  # a quarter are values that only their name gives away
+        if i % 2 and short:
+            strong = r.random() < 0.6
+            value = r.choice([
+                lambda: draw(alnum, r.randint(6, 15)), lambda: draw(alnum + "!#$%*-_@", r.randint(8, 15)), lambda: draw(letters, r.randint(8, 32)), lambda: draw(alnum[:26], r.randint(10, 24)),
+                *([lambda: real() + str(r.randint(1, 9999)), lambda: real().title() + str(r.randint(10, 2030)) + r.choice("!#$*"), lambda: "".join(real() for _ in range(r.randint(2, 4))), lambda: "".join(word() for _ in range(r.randint(2, 4))), lambda: "-".join(real() for _ in range(r.randint(2, 4))), real] if strong else []),
+            ])()
+            name = r.choice(["password", "passwd", "pwd", "DB_PASSWORD", "secret", "client_secret", "passphrase"] if strong else ["token", "api_key", "auth_token", "access_key", "private_key", "apikey", "credential"])
+            before, after = r.choice([(f'{word()} {name} = "', f'" {word()}'), (f'"{name}": "', '", '), (f"{name}='", f"' {word()}"), (f"{name}=", f" {word()}"), (f"{name}=", "\n"), (f"{word()} {name}: ", "\n"), (f'{name}: "', '"\n')])
+            if not (value.isalpha() and value.islower()) and r.random() < 0.3:
+                before, after = f"{word()} {name}: ", r.choice([f" {word()}", f" and {word()}", "."])
+        elif short:
+            value, name, after = r.choice([
+                lambda: (r.choice(sorted(LITERALS)).decode().title(), r.choice(["password", "token", "secret", "key"]), "\n"), lambda: (r.choice(sorted(LITERALS)).decode(), r.choice(["password", "token", "secret", "key"]), r.choice(["\n", f" {word()}", ", "])),
+                lambda: (str(r.randint(0, 99999)), r.choice(["max_tokens", "n_tokens", "key_size", "key", "access_count"]), "\n"),
+                lambda: (real(), r.choice(["key", "author", "keyword", "keyboard", "monkey", "access", "primary_key", "private"]), r.choice(["\n", f" {real()}", ", "])),
+                lambda: (real().title(), r.choice(["author", "Authors", "keywords", "Key", "Access"]), f" {real()}"),
+                lambda: (real(), r.choice(["secret", "password", "the key", "token"]), f" {real()} {real()}"),
+                lambda: (r.choice(["user_id", "doc_id", "order_id", "name", "row.id", f"{real()}_id", f"{word()}_{word()}"]), r.choice(["primary_key", "foreign_key", "key", "sort_key", "token"]), r.choice(["\n", ", "])),
+                lambda: (r.choice(["get_", "read_", "load_", "os.", "getpass.", "self."]) + word(), r.choice(["password", "token", "secret", "key"]), "("),
+                lambda: (r.choice(["os.environ", "process.env.PASSWORD", "your_password", "your-token-here", "change_me", "config.password", "${PASSWORD}", "$ENV_TOKEN"]), r.choice(["password", "token", "secret", "api_key"]), r.choice(["\n", '"', "["])),
+            ])()
+            prose = after[:1] == " " and after[1:2].isalpha()
+            before = f"{word()} {name}" + (": " if prose or r.random() < 0.5 else r.choice(["=", " = ", ' = "' if after == '"' else ": "]))
+        elif i % 2:
+            value = r.choice([lambda: draw(hexa, r.choice([32, 40, 64])), lambda: draw(alnum, r.randint(20, 48)), lambda: draw(letters, r.randint(16, 40)), lambda: "AKIA" + draw(alnum[26:], 16), lambda: "ghp_" + draw(alnum, 36), lambda: "sk-" + draw(alnum, 40), lambda: draw(alnum + "+/", r.randint(24, 60)) + "=" * r.randint(0, 2)])()
             name = r.choice(["token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret", "private_key"])
             before, after = r.choice([(f'{word()} {name} = "', f'" {word()}'), (f"{word()} {name}: ", f" {word()}"), (f"{name}='", f"' {word()}"), (f"Authorization: Bearer ", "\n"), (f"{word()} {name} ", f" {word()}")])  # noqa: F541
         else:
-            kind = r.randrange(8)
+            kind = r.randrange(10)
             value = [
                 lambda: "/".join(word() for _ in range(r.randint(3, 6))) + r.choice([".txt", ".py", ".html"]),
                 lambda: f"{word()}.{r.randint(0, 99):02d}@mail{r.randint(1, 9)}.example.com",
@@ -97,10 +137,12 @@ def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[tuple[bytes, byt
                 lambda: draw("0123456789", r.randint(16, 20)),
                 lambda: draw(hexa, r.choice([32, 40, 64])),
                 lambda: "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)),
+                lambda: r.choice([str, str.title, str.upper])("".join(real() for _ in range(r.randint(1, 3)))),
+                lambda: "".join(r.choice([real, word])().title() for _ in range(r.randint(2, 5))),
             ][kind]()
             before = f"{word()} {r.choice(['commit', 'checksum', 'sha256', 'digest', 'revision'])} " if kind == 6 else f"{word()} {r.choice(['id', 'uuid'])} " if kind == 7 else f"{word()} {r.choice(['', '', 'file ', 'url ', 'path = ', 'the ', 'token '])}"
             after = f" {word()}"
-            value = value if len(value) >= 16 else value + "".join(word() for _ in range(6))
+            value = value if len(value) >= 16 else (value + real() + "entwicklung") if kind >= 8 else value + "".join(word() for _ in range(6))
         folder, end = (r.choice(["src", "app", "conf", "deploy"]), r.choice([".env", ".yml", ".py", ".json"])) if i % 2 else (r.choice(["src", "tests", "docs", "examples"]), r.choice([".md", ".py", ".txt", ".json"]))
         path = r.choice(["", f"{folder}/{word()}{end}"])
         out.append((value.encode(), before.encode(), after.encode(), path.encode(), i % 2))
@@ -172,19 +214,55 @@ def train(findings=None, **how) -> Model:
     return Model(labelled_findings() if findings is None else findings, **how)
 
 
+def _hinted(text: bytes) -> list[tuple[int, int]]:
+    """Spans of the values that stand after a hint word with = or :, in order and apart."""
+    spans, end = [], 0
+    for m in ASSIGN.finditer(text):
+        if m.start() < end:
+            continue
+        near = text[max(0, m.start() - 200) : m.start()].lower()
+        name = NAME.search(near) if any(h in near for h in NAMES) else None
+        if name is None or not any(h in name[1] for h in NAMES):
+            continue
+        v = VALUE.match(text, m.end())
+        if v:
+            a, b = v.span(2) if v[2] else v.span(3)
+            b -= 0 if v[2] or text[a:b].endswith(b"==") else len(text[a:b]) - len(text[a:b].rstrip(b".:,="))
+            if a < b:
+                spans.append((a, b))
+                end = b
+    return spans
+
+
+def _runs(text: bytes, hinted: list[tuple[int, int]]):
+    """Spans of the runs of 16 or more token characters outside of the hinted values."""
+    k = 0
+    for m in CANDIDATE.finditer(text):
+        at, parts = m.start(), []
+        while k < len(hinted) and hinted[k][1] <= at:
+            k += 1
+        j = k
+        while j < len(hinted) and hinted[j][0] < m.end():
+            parts.append((at, hinted[j][0]))
+            at, j = hinted[j][1], j + 1
+        for a, b in [*parts, (at, m.end())]:
+            if b - a < 16:
+                continue
+            c = text[a:b] if text[a:b].endswith(b"==") else text[a:b].rstrip(b".:,=")
+            eq = re.match(rb"[A-Za-z_]{2,20}[=:](?=.{12})", c)  # name=value without blanks
+            b, a = a + len(c), a + (eq.end() if eq and b"://" not in c else 0)
+            if b - a >= 16:
+                yield a, b
+
+
 def _find(raw: list[bytes], paths: list[bytes], model: Model) -> list[tuple[int, int, int, float]]:
     """(row, start, end, score) of the candidates in texts."""
     at, rows = [], []
     for i, (text, path) in enumerate(zip(raw, paths, strict=True)):
-        for m in CANDIDATE.finditer(text):
-            c = m[0].rstrip(b".:,=") if not m[0].endswith(b"==") else m[0]
-            eq = re.match(rb"[A-Za-z_]{2,20}[=:](?=.{12})", c)  # name=value without blanks
-            a = m.start() + (eq.end() if eq and b"://" not in c else 0)
-            c = text[a : m.start() + len(c)]
-            if len(c) < 16 or c.isalpha():
-                continue
-            at.append((i, a, a + len(c)))
-            rows.append((c, text[max(0, a - 40) : a], text[a + len(c) : a + len(c) + 24], path))
+        hinted = _hinted(text)
+        for a, b in sorted([*hinted, *_runs(text, hinted)]):
+            at.append((i, a, b))
+            rows.append((text[a:b], text[max(0, a - 80) : a], text[b : b + 24], path))
     return [(*p, s) for p, s in zip(at, model.scores(rows).tolist(), strict=True)]
 
 
