@@ -4,7 +4,9 @@ Each source gets a target (a share of all words by weight, at most `most` times
 whole as often as it fits; the rest of its target is filled from a histogram of exact document lengths: a
 proportional part of every length first, then single documents in seeded order of lengths until less than `window`
 words are open, then a bounded-knapsack dynamic programme over the lengths left, which finds the subset that comes
-nearest. Where a source is so small that this leaves over 0.1% open, the programme is over any number of copies.
+nearest. Where this leaves over 0.1% of the target open, whatever its size, a programme over all documents of the source
+and any number of copies up to `most` plans it anew; it is exact for targets of up to about 2**20 words, and on a grid
+of that many cells of sums (each sum itself exact) for larger ones. The nearer plan is taken.
 The plan says how many documents of each length are taken once more; a seeded choice then picks them. Only ids,
 sources and lengths are shuffled, and lengths are counted before the shuffle, so a hot source is one row for each
 length. Groups of equal source and length are cut into buckets of about `bucket` rows by a seeded hash: whole buckets
@@ -102,6 +104,45 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, window:
     return take
 
 
+def nearest(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int, cells: int = 1 << 20) -> np.ndarray:
+    """As fit(), planned from nothing, for sums of up to budget + slack. Each of at most cells ranges of sums keeps the
+    first sum that falls in it, so every sum has its own cell, and the plan is the best there is, where they are enough."""
+    limit, items = budget + slack, []
+    for i in np.argsort(-lengths):
+        n, k = min(int(counts[i]), limit // int(lengths[i])), 1
+        while n:
+            k = min(k, n)
+            items.append((int(i), k))
+            n, k = n - k, 2 * k
+    cells = max(1 << 16, min(cells, (1 << 28) // max(1, len(items))))
+    width = -(-(limit + 1) // cells)
+    sums = np.full(limit // width + 1, -1, np.int64)
+    by, back = np.zeros(len(sums), np.int32), np.zeros(len(sums), np.int32)
+    sums[0], live = 0, np.zeros(1, np.int64)
+    best = (2 * budget, -1, 0)  # twice the distance (and one more from above), last item, cell before it
+    for j, (i, k) in enumerate(items):
+        new = sums[live] + k * int(lengths[i])
+        own = new <= limit
+        new, old = new[own], live[own]
+        if not len(new):
+            continue
+        off = 2 * np.abs(new - budget) + (new > budget)
+        if off.min() < best[0]:
+            best = (int(off.min()), j, int(old[off.argmin()]))
+            if not best[0]:
+                break
+        open_ = sums[new // width] < 0
+        cell, first = np.unique(new[open_] // width, return_index=True)
+        sums[cell], by[cell], back[cell] = new[open_][first], j, old[open_][first]
+        live = np.concatenate([live, cell])
+    take, (_, j, at) = np.zeros(len(lengths), np.int64), best
+    while j >= 0:
+        i, k = items[j]
+        take[i] += k
+        j, at = (int(by[at]), int(back[at])) if sums[at] else (-1, 0)
+    return take
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7, bucket: int = 512, size: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (times the document is taken) and taken (words), a row for
     each row of docs."""
@@ -119,10 +160,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
         rest = round(target - (target // source_size) * source_size) if source_size else 0
         sizes, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         took, whole = fit(sizes, n, rest, seed), np.full(len(n), int(target // source_size))
-        if abs(rest - (took * sizes).sum()) > 0.001 * target and target <= 1 << 16:
-            # a source of few documents: any number of copies of each, up to the most
-            copies = fit(sizes, n * int(most), round(target), seed)
-            if abs(round(target) - (copies * sizes).sum()) < abs(rest - (took * sizes).sum()):
+        gap = int(abs(rest - (took * sizes).sum()))
+        if gap > 0.001 * target:
+            # few documents, or long ones: any number of copies of each, up to the most
+            copies = nearest(sizes, n * int(most), round(target), gap)
+            if abs(round(target) - (copies * sizes).sum()) < gap:
                 whole, took = copies // n, copies % n
         return pdf.assign(whole=whole, more=took)[["source", "size", "n", "whole", "more"]]
 

@@ -156,6 +156,34 @@ def test_mix(spark, docs, odd, empty):
     assert op8_mix.mix(empty).collect() == []
 
 
+@pytest.mark.parametrize("scale", [1, 10, 3001, 10_000_019])
+def test_nearest_finds_the_best_copies(scale):
+    rng = np.random.default_rng(scale)
+    for _ in range(10):
+        lengths = np.sort(rng.choice(np.arange(3, 90), 4, replace=False)) * scale + rng.integers(0, scale, 4)
+        counts = rng.integers(1, 3, 4) * 3
+        budget = int((lengths * counts).sum() * rng.uniform(0.2, 0.9))
+        took = op8_mix.nearest(lengths, counts, budget, budget)
+        assert (took <= counts).all() and (took >= 0).all()
+        reach = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            reach = {s + k * n for s in reach for k in range(c + 1)}
+        assert abs(abs(budget - int((took * lengths).sum())) - min(abs(budget - s) for s in reach)) <= budget * 1e-5 * (budget > 500_000)
+
+
+@pytest.mark.parametrize(("long", "goal"), [((100_000, 70_000), 140_000), ((200_000, 90_000, 70_000), 250_000), ((7_000_000, 10_000_000, 13_000_000), 27_000_000)])
+def test_mix_of_few_long_documents(spark, long, goal):
+    """A source of few long documents meets a target that takes copies of some of them only."""
+    from pyspark.sql import functions as F
+
+    short = 2 * goal - sum(long)
+    df = spark.createDataFrame([*[(i, "a", n) for i, n in enumerate(long)], *[(100 + i, "b", short // 100) for i in range(100)]], "doc_id long, source string, words long")
+    for seed in (1, 2, 3):
+        rows = op8_mix.mix(df, weights=(1.0, 1.0), seed=seed, size=F.col("words")).filter("source = 'a'").collect()
+        assert {r["target"] for r in rows} == {goal} and max(r["copies"] for r in rows) <= 3
+        assert sum(r["taken"] for r in rows) == goal
+
+
 def test_mix_of_one_hot_length(spark):
     """A third of all rows share source and length: they are taken by buckets, in the exact number."""
     df = spark.createDataFrame([(i, "a b c d", "s") for i in range(3000)] + [(5000 + i, "w " * (i % 50 + 1), "tuv"[i % 3]) for i in range(3000)], "doc_id long, text string, source string")
