@@ -1,10 +1,13 @@
 """License scans with a positional rare-token index.
 
-The index holds, for each word of the licence templates, its postings (template, position). The words' document
-frequencies are counted over all documents (a table bounded by the templates' words). A file looks up the rarest
-word of each template that it holds; each place of that word gives one alignment of the template, the other words'
-postings are intersected by relative position, and the alignment counts once its mandatory key phrase stands there
-in full. Every place of a key phrase is found, as every such place holds the phrase's rarest word.
+Only the key phrases of twelve short notices (TEMPLATES) and of four names (BASE) are found: no licence text is among the
+templates, so a file with the text of a licence but none of these phrases gets no label. The query's SQL holds the same
+templates, and its labels and scores are the results to match.
+
+The index holds the rarest word of each key phrase, by the words' document frequencies, which are counted over all
+documents (a table bounded by the templates' words). Each place of such a word in a file is an alignment; it counts once
+the key phrase stands there in full, and its score is the share of the notice's words in place. Every place of a key
+phrase is found, as every such place holds the phrase's rarest word.
 
 Defined results: null text counts as empty (no words, no labels, score 0.0, null places); doc_id is carried as it is;
 extra columns are ignored; repeated rows give repeated results; an empty table gives an empty result.
