@@ -6,8 +6,9 @@ read the ledger and never the texts. All of it is built-in column functions: one
 
 Defined results: a null text counts as empty (0 words, fails the length rule); doc_id is carried as it is, null or
 repeated; extra columns are ignored by ledger() and kept by filter_documents(); an empty table gives an empty ledger.
-Words in repeated windows are found by a hash of each 3-word window with as many bits as the text's length leaves of
-64 (53 for 2,000 words), so two different windows of a text are taken for the same with a chance of less than 1e-9.
+Words in repeated windows are found by a hash of each 3-word window: in texts of up to PACKED words with as many bits as
+the text's length leaves of 64 (53 or more), in longer ones with 128 bits, so two different windows of a text are taken
+for the same with a chance of less than 1e-9 at any length.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Words of the longest text whose windows' hashes and positions are packed in longs.
+PACKED = 2047
 SPACE = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -45,22 +48,31 @@ def _repeat_words(w: Column) -> Column:
     with equal hashes, then add up the words that each kept window adds to those before it."""
     n = F.size(w)
     bits = F.length(F.bin(n))  # enough for a position
+    windows = F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0)))
     packed = F.transform(
-        F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))),
+        windows,
         lambda x, i: F.call_function("shiftleft", F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")),
     )
-    same = lambda a, b: F.call_function("shiftrightunsigned", a.bitwiseXOR(b), bits) == 0
+    wide = F.transform(
+        windows,
+        lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), F.xxhash64(F.get(w, i + 2), F.lit(1), F.get(w, i + 1), x).alias("g"), i.cast("long").alias("i")),
+    )
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long"))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def repeated(s: Column) -> Column:
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        hit = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
-        return let(F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(mask))), covered)
+    def repeated(same, place):
+        def of(s: Column) -> Column:
+            hit = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
+            return let(F.sort_array(F.transform(hit, place)), covered)
+
+        return of
 
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(F.sort_array(packed), repeated))
+    short = repeated(lambda a, b: F.call_function("shiftrightunsigned", a.bitwiseXOR(b), bits) == 0, lambda x: x.bitwiseAND(mask))
+    long = repeated(lambda a, b: (a["h"] == b["h"]) & (a["g"] == b["g"]), lambda x: x["i"])
+    return F.when(n < 4, F.lit(0).cast("long")).when(n <= PACKED, let(F.sort_array(packed), short)).otherwise(let(F.sort_array(wide), long))
 
 
 def measures(text: Column) -> Column:

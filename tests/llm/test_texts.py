@@ -33,6 +33,20 @@ def test_rules(docs, odd, empty):
     assert op3_rules.ledger(empty).collect() == []
 
 
+def test_repeats_in_a_long_text_are_not_by_a_cut_hash(spark):
+    """xxhash64 of these two windows differs in the high 18 bits only, which the positions of 140,000 words take."""
+    text = " ".join([f"w{i}" for i in range(140_000)] + ["1853038 b c x 10933721 b c"])
+    df = spark.createDataFrame([(1, text), (2, text + " 1853038 b c")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in op3_rules.ledger(df).collect()}
+    assert got == {1: 0, 2: 6} == {1: brute_rules(text)[4], 2: brute_rules(text + " 1853038 b c")[4]}
+
+
+@pytest.mark.parametrize("n", [2045, 2046, 2047, 2048, 5000])
+def test_repeats_on_both_sides_of_the_packed_length(spark, n):
+    text = " ".join(f"w{i * i % 1999}" for i in range(n))
+    assert op3_rules.ledger(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["n_repeat_words"] == brute_rules(text)[4]
+
+
 def test_rules_sql(spark, docs):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DATA}/sf0.001/documents.parquet'")
