@@ -96,6 +96,24 @@ def test_cotraining(spark, docs, odd, empty):
     assert op2_cotrain.train(odd, odd_labels) is None
 
 
+def test_cotraining_labels_documents_of_any_hash_and_absent_labels_take_no_place(spark):
+    """Every unlabelled document can be given a label, repeated rows of an id count once, and labels of absent
+    documents don't use up the bound on labelled rows."""
+    from pyspark.sql import functions as F
+
+    good, bad = "a calm text of plain words that go on and on", "BUY !!! $$$ NOW ### BUY !!! $$$"
+    labelled = [(i, good if i % 2 else bad, "en", "web" if i % 2 else "spam") for i in range(80)]
+    # the id with the smallest hash fills a pool of rows; the other unlabelled rows are of a language of their own
+    first = spark.range(1000, 2000).orderBy(F.xxhash64("id", F.lit(1))).first()["id"]
+    rest = [(i, good if i % 2 else bad, "xx", "rare" if i % 2 else "rarer") for i in range(1000, 1200) if i != first]
+    docs = spark.createDataFrame(labelled + [(first, good, "en", "web")] * 3200 + rest, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(10_000 + i, i % 2) for i in range(4000)], "doc_id long, quality int")
+    model = op2_cotrain.train(docs, labels)
+    assert model is not None
+    rare, rarer = (model["meta"][op2_cotrain.metadata("xx", s, 40)[1]] for s in ("rare", "rarer"))
+    assert rare > 0.1 and rarer < -0.1
+
+
 def test_forest_on_findings_held_out():
     found = op7_secrets.labelled_findings(3000, seed=41)
     model = op7_secrets.train(found[:2000])
