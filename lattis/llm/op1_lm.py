@@ -4,8 +4,9 @@ The model is a smoothed n-gram model (n is `order`) whose lowest order is the ad
 p(w | h) = (c(h w) + mu * p(w | h')) / (c(h) + mu) with h' the context h without its first word. As an automaton, each
 seen context is a state; a seen n-gram is an arc with that weight; every other word leaves by the state's failure arc,
 weight mu / (c(h) + mu), to the state h', and last to the root state, whose arcs are the unigrams and one arc for all
-unknown words. Probabilities of a state sum to one. A document is read once from left to right; the state is carried
-and log10 weights are added up.
+unknown words. Probabilities of a state sum to one. At order 2 every failure arc leads to the root. A document's score
+is the sum of log10 weights on its path. The state before a token is the words before it, so no state is carried: the
+weight of each token is worked out with its n-gram's arc and looked up by place, and a document's weights are added up.
 
 The counts cover every token of every training document, and no table of them is ever whole in one place: texts are
 coded in blocks (each input task cuts its rows to blocks of about BLOCK tokens and writes them out, so a block is
@@ -211,7 +212,7 @@ class Automaton:
             self.arcs.append(np.where(count > 0, np.log10((count + mu * 10**lower) / (state + mu)), np.log10(mu / (state + mu)) + lower))
 
     def traverse(self, lengths: np.ndarray) -> np.ndarray:
-        """Each document's sum of the weights on its path: at each token, of the longest n-gram that the state allows."""
+        """Each document's sum of the weights on its path: a gather of each token's weight, by its longest n-gram there."""
         weights = self.arcs[0][self.grams.place[0]]
         for place, arcs in zip(self.grams.place[1:], self.arcs[1:], strict=True):
             on = place >= 0
