@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattis.llm.work import LOWER, by_group, groups_of, mix64, shuffle_partitions, small_batches, stash, texts
+from lattis.llm.work import LOWER, by_group, groups_of, mix64, shuffle_partitions, slices, stash, texts
 
 BLOCK = 1_200_000
 ALPHA, MU, ORDER = 0.1, 4.0, 2
@@ -86,7 +86,7 @@ def code_blocks(docs: DataFrame) -> DataFrame:
                 names=["block", "doc_ids", "held_out", "lengths", "words", "codes", "train_tokens", "train_docs"],
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 words = tokens(text)
                 words.append(END)
@@ -223,7 +223,6 @@ class Automaton:
 def score(docs: DataFrame, alpha: float = ALPHA, mu: float = MU, order: int = ORDER) -> DataFrame:
     """Scores of all documents by the model of those that aren't held out."""
     spark = docs.sparkSession
-    small_batches(spark)
     coded = stash(code_blocks(docs), "lm-blocks")
     totals = coded.agg(F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("d")).first()
     total, starts = int(totals["n"] or 0), int(totals["d"] or 0)

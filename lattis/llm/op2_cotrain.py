@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattis.llm.work import LOWER, small_batches, stash, texts
+from lattis.llm.work import LOWER, slices, stash, texts
 
 LABELLED = 3000
 DIMS, STATS, META = 2048, 9, 160
@@ -80,11 +80,10 @@ FEATURES = "doc_id long, at binary, stats array<double>, meta array<int>"
 
 def _features(docs: DataFrame) -> DataFrame:
     """FEATURES of the rows that have an id; at holds the hash buckets of a text's words as 16-bit integers."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         buckets = Buckets()
-        for batch in batches:
+        for batch in slices(batches):
             raw = texts(batch.column("text"))
             rows = [content(t, buckets) for t in raw]
             meta = [metadata(a, b, len(t)) for a, b, t in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), raw, strict=True)]
@@ -192,12 +191,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
 
 def score(docs: DataFrame, model: dict | None, least: float = 0.5) -> DataFrame:
     """doc_id, calibrated text_score and meta_score, score, kept (score is at least `least`), a row for each row."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         buckets = Buckets()
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.num_rows
             if model is None or not n:
                 a = b = s = np.full(n, 0.5)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattis.llm.work import ALNUM, small_batches, texts
+from lattis.llm.work import ALNUM, slices, texts
 
 #: Phrases and labels that the scan must count.
 BASE = (
@@ -67,7 +67,7 @@ def document_frequencies(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]
 
     def count(batches):
         seen, n = Counter(), 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in texts(batch.column(0)):
                 n += 1
                 seen.update(words.intersection(text.translate(ALNUM).split()))
@@ -79,7 +79,6 @@ def document_frequencies(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, least: float = 0.6) -> DataFrame:
     """Licence labels, their places and the score of the best alignment, a row for each row of docs."""
-    small_batches(docs.sparkSession)
     df = document_frequencies(docs, vocabulary(templates, base))
     total = max(1, df.get(b"", 1))
     idf = {w: math.log(total / (1 + df.get(w, 0))) for w in vocabulary(templates, base)}
@@ -111,7 +110,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, least: float = 0.6) ->
         return places, names, spans, best
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
             for text in texts(batch.column("text")):
                 words = text.translate(ALNUM).split()

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattis.llm.work import small_batches, texts
+from lattis.llm.work import slices, texts
 
 UNIT = 64
 RATE = 8000
@@ -146,10 +146,9 @@ def read_tensor(data: bytes) -> pa.RecordBatch:
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (before padding), media: the text's bytes, padded to a multiple of UNIT, as a WAV file."""
-    small_batches(docs.sparkSession, 1000)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raw = texts(batch.column("text"))
             media = [wav(t + b"\0" * (-len(t) % UNIT or (0 if t else UNIT))) for t in raw]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -161,7 +160,7 @@ def features(stored: DataFrame) -> DataFrame:
     """stored, with tensor (an Arrow IPC stream, see tensor_bytes) read from its media column."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for media in batch.column("media").to_pylist():
                 mel = log_mel(samples(media))
@@ -175,7 +174,7 @@ def digest(featured: DataFrame) -> DataFrame:
     """Digests of the stored form and of the features, a row for each row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for media, tensor in zip(batch.column("media").to_pylist(), batch.column("tensor").to_pylist(), strict=True):
                 payload, table = samples(media), read_tensor(tensor)

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattis.llm.work import by_group, groups_of, mix64, shuffle_partitions, small_batches, stash, texts
+from lattis.llm.work import by_group, groups_of, mix64, shuffle_partitions, slices, stash, texts
 
 LENGTH, K = 200, 32
 BLOCK, SHARD, HOT = 4_000_000, 1_500_000, 4096
@@ -65,7 +65,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array([len(p) for p in parts], np.int64).tobytes()], pa.binary()), pa.array([zstandard.compress(b"".join(parts), 3)], pa.binary())], names=["block", "doc_ids", "lengths", "data"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 ids.append(doc_id)
                 parts.append(text)
@@ -494,7 +494,6 @@ def cut(blocks: DataFrame, repeats: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay), a row for each row of docs."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
     buckets = shuffle_partitions(spark)
     blocks = stash(text_blocks(docs), "texts")
     answered = stash(answer(ask(blocks, buckets), buckets), "anchors")

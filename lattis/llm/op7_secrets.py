@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattis.llm.work import small_batches, texts
+from lattis.llm.work import slices, texts
 
 FINDINGS = 4000
 CANDIDATE = re.compile(rb"[A-Za-z0-9_+/=.@:\-]{16,}")
@@ -273,11 +273,10 @@ def _paths(batch: pa.RecordBatch) -> list[bytes]:
 def scan(docs: DataFrame, model: Model | None = None, threshold: float = 0.5) -> DataFrame:
     """A row for each candidate: doc_id, its place in the text's UTF-8 bytes, the sha256 of its bytes, the forest's
     score, and is_secret (score at or over the threshold)."""
-    small_batches(docs.sparkSession)
     model = train() if model is None else model
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raw, ids = texts(batch.column("text")), batch.column("doc_id").to_pylist()
             found = _find(raw, _paths(batch), model)
             yield pa.RecordBatch.from_arrays(
@@ -291,11 +290,10 @@ def scan(docs: DataFrame, model: Model | None = None, threshold: float = 0.5) ->
 
 def redact(docs: DataFrame, model: Model | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret in text replaced by mark; n_chars, where there is one, follows."""
-    small_batches(docs.sparkSession)
     model, mark_b = train() if model is None else model, mark.encode()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             raw = texts(batch.column(at))
             hits: dict[int, list] = {}

@@ -48,6 +48,14 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def slices(batches, rows: int = 1000):
+    """The batches in slices of at most that many rows, so that what a function makes of them stays small. Spark itself
+    bounds a batch by bytes (64 MB unless set otherwise), so long texts come in batches of few rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
