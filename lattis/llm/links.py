@@ -24,8 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = stash(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"), "lows")
         small = large.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
         after = stash(small.filter("a <> b").distinct(), "links")
-        # converged once every vertex has one link, to a vertex that has none
-        if not after.count() or (after.count() == after.select("a").distinct().count() and after.select(F.col("b").alias("a")).distinct().join(after.select("a"), "a", "left_semi").isEmpty()):
+        # converged once every vertex has one link at most, to a vertex that has none
+        ends = after.select(F.col("a").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(after.select(F.col("b").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        ends = ends.groupBy("v").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+        if not (ends.agg(F.max((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0)))).first() or [False])[0]:
             break
         links = after
     return after.select(F.col("a").alias("id"), F.col("b").alias("root")).union(after.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
