@@ -9,12 +9,12 @@ from lattis.plans.build import Builder, Query
 from lattis.plans.explain import explain
 from lattis.types import BIGINT, DOUBLE, FLOAT, INT, SqlType
 
-_KINDS = {"int": INT, "bigint": BIGINT, "float": FLOAT, "double": DOUBLE, "string": SqlType("CHAR", 1 << 30)}
+_KINDS = {"int": INT, "bigint": BIGINT, "float": FLOAT, "double": DOUBLE, "string": SqlType("CHAR", 1 << 30), "timestamp_ntz": SqlType("DATETIME", 8), "timestamp": SqlType("TIMESTAMP", 8), "date": SqlType("DATE")}
 
 
 class Frames:
-    """Tables by name. Columns of types that the dialect has no word for (timestamps, arrays) can be selected by
-    DataFrame code only; queries see the others."""
+    """Tables by name. Timestamps and dates compare with strings; columns of other types that the dialect has no word for (arrays,
+    decimals) can be selected, and no more than that."""
 
     def __init__(self, tables: dict[str, DataFrame], hint: str | None = None, indexes: dict[str, list[list[str]]] | None = None):
         self.tables, self.hint, self.indexes = tables, hint, indexes or {}
@@ -28,10 +28,10 @@ class Frames:
 
         if table not in self.tables:
             raise TableNotFound(table)
-        return {c: _KINDS[t] for c, t in self.tables[table].dtypes if t in _KINDS}
+        return {c: _KINDS.get(t, SqlType("OPAQUE")) for c, t in self.tables[table].dtypes}
 
     def rows(self, table: str) -> DataFrame:
-        return self.tables[table].select(*self.columns(table))
+        return self.tables[table]
 
     def query(self, text: str) -> Query:
         q = d.parse(text)

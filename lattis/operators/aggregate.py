@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -39,20 +38,27 @@ def group_by(df: DataFrame, keys: list[str], aggregates: list[Aggregate], having
     return out
 
 
-def group_order(df: DataFrame, order: list[tuple[str, bool]]) -> tuple[DataFrame, Column, bool]:
+def descending(col: Column, kind: str) -> Column:
+    """A value that ascends where col descends. A string goes by the complement of its bytes, and an end that comes after
+    them all, as a string comes after those that it begins."""
+    if kind in ("int", "bigint"):
+        return -col.cast("decimal(20,0)")
+    if kind in ("float", "double"):
+        return -col.cast("double")
+    if kind == "string":
+        return F.concat(F.translate(F.hex(F.encode(col, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    return -F.unix_micros(col.cast("timestamp"))
+
+
+def group_order(df: DataFrame, order: list[tuple[str, bool]]) -> tuple[Column, bool]:
     """Groups ordered by columns that they aren't grouped by come in the order of their first rows in the sorted input.
 
-    Returns df, an aggregate by which to order its groups, and whether descending. A group's first row is its smallest
-    sort tuple: min of the tuple if all keys ascend, max if all descend; only a mix of directions needs the rows' ranks,
-    in a window without a partition.
+    Returns an aggregate by which to order df's groups, and whether descending. A group's first row is its smallest
+    sort tuple: min of the tuple if all keys ascend, max if all descend; in a mix, those that descend are turned round.
     """
     down = {d for _, d in order}
     keys = [F.col(f"`{c}`") for c, _ in order]
     if len(down) == 1:
-        pick = F.max if down == {True} else F.min
-        return df, pick(keys[0] if len(keys) == 1 else F.struct(*keys)), down == {True}
-    flipped = [(F.col(f"`{c}`"), d, dict(df.dtypes)[c]) for c, d in order]
-    if all(not d or t in ("int", "bigint", "float", "double") for _, d, t in flipped):
-        return df, F.min(F.struct(*[-c.cast("double" if t in ("float", "double") else "bigint") if d else c for c, d, t in flipped])), False
-    w = Window.orderBy(*[F.col(f"`{c}`").desc() if d else F.col(f"`{c}`").asc() for c, d in order])
-    return df.withColumn("_first", F.row_number().over(w)), F.min("_first"), False
+        return (F.max if down == {True} else F.min)(keys[0] if len(keys) == 1 else F.struct(*keys)), down == {True}
+    kinds = dict(df.dtypes)
+    return F.min(F.struct(*[descending(F.col(f"`{c}`"), kinds[c]) if d else F.col(f"`{c}`") for c, d in order])), False

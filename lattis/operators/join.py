@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _hinted(df: DataFrame, hint: str | None) -> DataFrame:
+#: The largest side, by the optimizer's estimate, that a BROADCAST hint holds for; larger ones are joined as Spark sees fit.
+BROADCAST_BYTES = 64 << 20
+
+
+def hinted(df: DataFrame, hint: str | None) -> DataFrame:
+    if hint == "BROADCAST" and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST_BYTES:
+        return df
     return df.hint(hint) if hint else df
 
 
@@ -22,7 +28,7 @@ def equi_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], re
         on = one if on is None else on & one
     if residual is not None:
         on = residual if on is None else on & residual
-    return left.join(_hinted(right, hint), on, "inner")
+    return left.join(hinted(right, hint), on, "inner")
 
 
 def theta_join(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
@@ -32,4 +38,4 @@ def theta_join(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
 
 def semi_join(left: DataFrame, right: DataFrame, on: Column, hint: str | None = None) -> DataFrame:
     """Rows of left that have a partner; left's columns only."""
-    return left.join(_hinted(right, hint), on, "left_semi")
+    return left.join(hinted(right, hint), on, "left_semi")

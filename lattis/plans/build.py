@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattis.errors import ColumnNotFound, EngineError
-from lattis.operators import Aggregate, compare, conjunction, cross_join, filter_rows, global_aggregate, group_order, limit, order_by, semi_join, theta_join, top_k, union_distinct
+from lattis.operators import Aggregate, compare, conjunction, cross_join, filter_rows, global_aggregate, group_order, hinted, limit, order_by, semi_join, theta_join, top_k, union_distinct
 from lattis.plans.checks import Scope, Source, grouped, having_value
 from lattis.plans.dialect import Agg, Col, Cond, Derived, Item, Ref, Select
 from lattis.types import Lit, SqlType, literal
@@ -105,7 +105,7 @@ class Builder:
         for i, right in enumerate(frames[1:], 1):
             across = [self.predicate(scope, c) for c in step[i] if isinstance(c.right, Col) and c.left.table != c.right.table]
             own = [self.predicate(scope, c) for c in step[i] if not (isinstance(c.right, Col) and c.left.table != c.right.table)]
-            right = filter_rows(right.hint(self.hint) if self.hint else right, own)
+            right = filter_rows(hinted(right, self.hint), own)
             df = theta_join(df, right, conjunction(across)) if across else cross_join(df, right)
         return df
 
@@ -160,10 +160,14 @@ class Builder:
             out = global_aggregate(df, list(slots.values()) or [Aggregate("COUNT", None, "g0")])
             order = []
         else:
-            extra, by_first = [], [k for k, _ in order if k not in keys and k not in {a.name for a in slots.values()}]
-            if by_first:
-                inner = [(k, d) for k, d in order if not k.startswith("g")]
-                df, first, down = group_order(df, inner)
+            made = {a.name for a in slots.values()}
+            extra, by_first = [], [k for k, _ in order if k not in keys and k not in made]
+            if by_first and any(k in made for k, _ in order):
+                # next to an aggregate, a column counts with its first value in the group
+                extra = [(F.max if down else F.min)(k).alias(f"_order{n}") for n, (k, down) in enumerate(order) if k in by_first]
+                order = [(f"_order{n}" if k in by_first else k, down) for n, (k, down) in enumerate(order)]
+            elif by_first:
+                first, down = group_order(df, order)
                 extra, order = [first.alias("_order")], [("_order", down)]
             out = df.groupBy(*keys).agg(*[a.column_() for a in slots.values()], *extra) if slots or extra else df.select(*keys).distinct()
         out = filter_rows(out, [compare(F.col(n), op, F.lit(v)) for n, op, v in having])

@@ -48,6 +48,10 @@ def query(oracle: str | None):
 dialect("scan_all", "customer", "select * from customer")
 dialect("project_reorder", "lineitem", "select l_linenumber, l_orderkey, l_returnflag from lineitem")
 dialect("project_alias", "part", "select p_partkey as k, p_brand as brand from part")
+dialect("scan_all_datetime", "orders", "select * from orders")
+dialect("filter_datetime", "events", "select * from events where ts >= '2023-01-01 00:00:00' and event_type <> 'click'")
+dialect("min_max_datetime", "lineitem", "select l_returnflag, min(l_shipdate) as first, max(l_shipdate) as last from lineitem group by l_returnflag")
+dialect("scan_opaque", "embeddings", "select label, count(*) as n, count(embedding) as m from embeddings group by label")
 dialect("scan_pruned", "lineitem", "select l_orderkey, l_quantity from lineitem where l_quantity > 49.0")
 
 
@@ -67,7 +71,7 @@ dialect("point_lookup", "orders", "select o_orderkey, o_custkey, o_orderstatus f
 dialect("cross_join", "region nation", "select r_name, n_name from region, nation")
 dialect("join_without_on", "region nation", "select r_regionkey, n_nationkey from region join nation", "select r_regionkey, n_nationkey from region cross join nation")
 dialect("equi_join", "customer orders", "select c_custkey, c_mktsegment, o_orderkey, o_orderstatus from customer join orders on c_custkey = o_custkey")
-for _name, _hint in (("merge", "MERGE"), ("hash", "SHUFFLE_HASH"), ("broadcast", None)):
+for _name, _hint in (("merge", "MERGE"), ("hash", "SHUFFLE_HASH"), ("broadcast", "BROADCAST")):
     dialect(f"join_hint_{_name}", "supplier nation", "select s_suppkey, n_name from supplier join nation on s_nationkey = n_nationkey where s_acctbal > 0.0", hint=_hint)
 dialect("theta_join", "nation region", "select n_nationkey, r_regionkey from nation join region on n_regionkey < r_regionkey")
 dialect("join_residual", "nation supplier", "select n_name, s_suppkey from nation join supplier on n_nationkey = s_nationkey and n_regionkey < s_nationkey")
@@ -112,7 +116,8 @@ dialect("count_star", "lineitem", "select count(*) as n from lineitem")
 dialect("count_col", "orders", "select count(o_orderkey) as n from orders where o_orderstatus = 'F'")
 dialect("count_range", "orders", "select count(*) as n from orders where o_orderkey > 100 and o_orderkey <= 900")
 dialect("sum_int", "part", "select sum(p_size) as total from part", "select cast(sum(p_size) as bigint) as total from part")
-dialect("sum_float", "orders", "select max(o_totalprice) as top, sum(o_custkey) as keys from orders", "select max(o_totalprice) as top, cast(sum(o_custkey) as bigint) as keys from orders")
+dialect("sum_bigint", "orders", "select max(o_totalprice) as top, sum(o_custkey) as keys from orders", "select max(o_totalprice) as top, cast(sum(o_custkey) as bigint) as keys from orders")
+dialect("sum_avg_double", "lineitem", "select l_returnflag, sum(l_quantity) as total, avg(l_quantity) as mean from lineitem group by l_returnflag")
 dialect("avg_int", "part", "select avg(p_size) as mean from part where p_size > 10")
 dialect("min_max", "supplier", "select min(s_acctbal) as low, max(s_acctbal) as high, min(s_name) as first, max(s_name) as last from supplier")
 dialect("min_prefix", "lineitem", "select min(l_linenumber) as low from lineitem where l_orderkey = 33")
@@ -126,6 +131,8 @@ dialect("join_group_having", "customer orders", "select c_mktsegment, count(*) a
 dialect("shared_aggregates", "part", "select p_brand, count(*) as a, count(p_size) as b, max(p_size) as c from part group by p_brand having max(p_size) > 10")
 dialect("group_order_limit", "orders", "select o_custkey, count(*) as n from orders group by o_custkey order by o_custkey limit 7", "select o_custkey, count(*) as n from orders group by o_custkey order by o_custkey limit 7")
 dialect("group_order_by_first_row", "orders", "select o_orderpriority, count(*) as n from orders group by o_orderpriority order by o_orderkey desc limit 3", "select o_orderpriority, n from (select o_orderpriority, count(*) as n, max(o_orderkey) as k from orders group by o_orderpriority) order by k desc limit 3")
+dialect("group_order_mixed", "orders", "select o_orderstatus, count(*) as n from orders group by o_orderstatus order by o_orderpriority desc, o_orderkey limit 2", "select o_orderstatus, n from (select o_orderstatus, count(*) over (partition by o_orderstatus) as n, row_number() over (partition by o_orderstatus order by o_orderpriority desc, o_orderkey) as first, row_number() over (order by o_orderpriority desc, o_orderkey) as place from orders) where first = 1 order by place limit 2")
+dialect("group_order_by_agg_and_column", "orders", "select o_custkey, count(*) as n from orders group by o_custkey order by n desc, o_orderkey limit 9", "select o_custkey, n from (select o_custkey, count(*) as n, min(o_orderkey) as k from orders group by o_custkey) order by n desc, k limit 9")
 dialect("group_order_by_agg", "customer", "select c_mktsegment, count(*) as n from customer group by c_mktsegment order by n desc, c_mktsegment limit 3")
 
 
@@ -187,12 +194,6 @@ def update_reads_old_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return update_rows(df, F.col("k") < 100, [Change("a", BIGINT, "a", BIGINT, "+", 1), Change("b", BIGINT, "a", BIGINT)])
 
 
-@query("select r_regionkey, r_name from region union all select 99, 'ATLANTIS'")
-def insert_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region = read_table(spark, sf_dir, "region")
-    return region.union(spark.createDataFrame([(99, "ATLANTIS")], region.schema))
-
-
 @query("select l_orderkey, count(*) as n from lineitem group by l_orderkey having count(*) > 1")
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_keys(read_table(spark, sf_dir, "lineitem"), ["l_orderkey"])
@@ -223,19 +224,6 @@ def explain_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(0, lines[0])], "line_no int, line string")
 
 
-@query(None)
-def explain_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = Frames.read(spark, sf_dir, "customer", "orders", indexes={"orders": [["o_custkey"]]}).explain("select customer.c_name from customer join orders on customer.c_custkey = orders.o_custkey where customer.c_acctbal > 100.0")
-    return spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
-
-
-@query("""select 'customer' as tab, 'c_custkey' as field, 'BIGINT' as type union all select 'customer', 'c_name', 'STRING' union all
- select 'customer', 'c_nationkey', 'INT' union all select 'customer', 'c_acctbal', 'DOUBLE' union all select 'customer', 'c_mktsegment', 'STRING'""")
-def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = Frames.read(spark, sf_dir, "customer").columns("customer")
-    return spark.createDataFrame([("customer", c, t.shown()) for c, t in columns.items()], "tab string, field string, type string")
-
-
 @query("select o_orderkey, 'balance ' || printf('%.6f', cast(o_totalprice as double)) as line from orders")
 def float_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattis.functions import float_text
@@ -358,3 +346,11 @@ def ext_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, cast(sum(cast(value as decimal(18, 6))) as double) as total from events group by 1, 2")
 def ext_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(read_table(spark, sf_dir, "events"))
+
+
+# -- statements -------------------------------------------------------------------------------------------------------
+
+from lattis import statements  # noqa: E402
+
+QUERIES |= statements.QUERIES
+ORACLES |= statements.ORACLES

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _LOCAL: list[str] = []
+_MADE: list[str] = []
 
 
 def scratch_base(spark: SparkSession) -> str:
@@ -27,5 +28,13 @@ def scratch_base(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the scratch folder."""
-    return f"{scratch_base(spark)}/lattis-{name}-{uuid.uuid4().hex}"
+    """A new path in the scratch folder, known to drop_scratch()."""
+    _MADE.append(f"{scratch_base(spark)}/lattis-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what was written to all paths given out so far; frames that read it can't be used any more."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
