@@ -8,14 +8,16 @@ than a bin are cut into full bins and a rest. Rows are dealt by a seeded hash to
 that are packed on their own: all a task holds is one shard, a hot source or cluster is spread over all shards, and
 only ids, sources and lengths are shuffled.
 
-Defined results: a null text has no words and takes one token (its end); null sources are one source, null doc_ids are
-allowed; repeated rows are packed one by one (they conflict, being copies); extra columns are ignored; an empty table
-gives an empty result.
+Defined results: a null text has no words and takes one token (its end); null sources are one source; doc_id is an integer, carried
+as it is, or null; repeated rows are packed one by one (they conflict, being copies), and are dealt to shards by their place
+in the input, so that no number of them meets in one task; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,17 +99,21 @@ def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 4, shard_rows:
     cap = F.lit(capacity).cast("long")
     pieces = sized.filter("n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {capacity}"))).alias("piece")).select(
         "doc_id", "source", "cluster", "piece", (F.col("piece") * cap).alias("start"), F.least(cap, F.col("n") - F.col("piece") * cap).alias("length"))
-    pieces = stash(pieces, "pack")
+    pieces = stash(pieces.withColumn("row", F.monotonically_increasing_id()), "pack")
     shards = max(1, -(-pieces.count() // shard_rows))
 
-    def pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "cluster", "source", "doc_id", "piece"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-        source = pdf["source"].where(pdf["source"].notna(), None)
-        pdf["bin"] = best_fit(pdf["length"].tolist(), pdf["cluster"].tolist(), source.tolist(), capacity, per_source)
-        by = pdf.groupby("bin")["length"]
-        pdf["at"], pdf["bin_used"], pdf["bin_items"] = by.cumsum() - pdf["length"], by.transform("sum"), by.transform("size")
-        pdf["source"] = source
-        return pdf[[c.split()[0] for c in PACKED.split(", ")]]
+    def pack_shard(table: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("cluster", "ascending"), ("source", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")]
+        table = table.take(pc.sort_indices(table, sort_keys=order))
+        lengths = table.column("length").to_numpy()
+        bins = np.array(best_fit(lengths.tolist(), table.column("cluster").to_pylist(), table.column("source").to_pylist(), capacity, per_source), np.int64)
+        by = np.argsort(bins, kind="stable")  # pieces of a bin next to each other, in the order in which they were placed
+        upto = np.cumsum(lengths[by]) - lengths[by]
+        first = np.searchsorted(bins[by], bins[by])
+        at = np.empty(len(bins), np.int64)
+        at[by] = upto - upto[first]
+        made = {"bin": bins, "at": at, "bin_used": np.bincount(bins, lengths)[bins].astype(np.int64), "bin_items": np.bincount(bins)[bins]}
+        return pa.table({c: made[c] if c in made else table.column(c) for c in (c.split()[0] for c in PACKED.split(", "))})
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "cluster", F.lit(seed)), F.lit(shards)).cast("long")
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(pack_shard, PACKED)
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "cluster", "row", F.lit(seed)), F.lit(shards)).cast("long")
+    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(pack_shard, PACKED)
