@@ -13,8 +13,8 @@ length. Groups of equal source and length are cut into buckets of about `bucket`
 are taken, and only the bucket at the edge is ranked.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own, last in order; doc_id
-may be null or repeated (repeated rows are taken one by one; which of two equal rows is taken is not defined); extra
-columns are ignored; an empty table gives an empty result.
+may be null or repeated (rows are taken one by one, and which of two rows without an id is taken hangs on their place in
+the input); extra columns are ignored by mix() and kept by take(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -143,20 +143,43 @@ def nearest(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int, ce
     return take
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7, bucket: int = 512, size: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (times the document is taken) and taken (words), a row for
-    each row of docs."""
-    sized = stash(docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size")), "mix")
-    # one row a source: sizes and targets are worked out on the driver, as they hang on each other
-    per = sorted(((r["source"], int(r["size"])) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    w = [weights[i % len(weights)] for i in range(len(per))]
-    want = targets([n for _, n in per], w, most)
-    goal = {s: (n, t) for (s, n), t in zip(per, want, strict=True)}
+def by_rank(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """sizes (source, source_size: a row a source) with each source's weight: the weights repeat along the sources in the order of
+    their code points, null last. Sources are ranked by a sort over ranges; what comes to the driver is a count of each range."""
+    text = F.col("source").cast("string")
+    ranged = stash(sizes.sort(text.isNull(), text).withColumn("_at", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("_at", 33)
+    before, starts = 0, []
+    for r in sorted(ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((r["p"], before))
+        before += r["n"]
+    table = sizes.sparkSession.createDataFrame(starts, "_p long, _before long")  # a row a range
+    place = F.pmod(F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1), F.lit(len(weights))).cast("int")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place + 1)
+    return ranged.join(F.broadcast(table), part == F.col("_p")).select("source", "source_size", weight.alias("weight"))
+
+
+def with_targets(weighted: DataFrame, most: float) -> DataFrame:
+    """weighted (source, source_size, weight) with each source's target, as targets() has it: each round is one sum over all
+    sources of those that are above their most and of the others' weights, until no more are above."""
+    size, w = F.col("source_size").cast("double"), F.col("weight")
+    total = float(weighted.agg(F.sum("source_size")).first()[0] or 0)
+    rest, share, above = total, None, -1
+    while True:
+        over = F.lit(False) if share is None else F.lit(rest) * w / F.lit(share) > F.lit(most) * size
+        got = weighted.agg(F.sum(F.when(over, F.lit(most) * size)).alias("fixed"), F.sum(F.when(~over, w)).alias("open"), F.count(F.when(over, 1)).alias("n")).first()
+        if got["n"] == above or not got["open"]:
+            return weighted.withColumn("target", F.when(over, F.lit(most) * size).otherwise(F.lit(rest) * w / F.lit(share or 1.0)))
+        rest, share, above = total - float(got["fixed"] or 0), float(got["open"]), got["n"]
+
+
+def _plan(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int, bucket: int) -> DataFrame:
+    """sized (row, doc_id, source, size; written) with source_size, target and copies."""
+    goals = stash(with_targets(by_rank(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights), most).select(F.col("source").alias("_g"), "source_size", "target"), "mix-targets")
 
     def per_source(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
-        source = pdf["source"].iloc[0]
-        source_size, target = goal[None if pd.isna(source) else source]
+        source_size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         rest = round(target - (target // source_size) * source_size) if source_size else 0
         sizes, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         took, whole = fit(sizes, n, rest, seed), np.full(len(n), int(target // source_size))
@@ -168,22 +191,38 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
                 whole, took = copies // n, copies % n
         return pdf.assign(whole=whole, more=took)[["source", "size", "n", "whole", "more"]]
 
-    lengths = sized.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    lengths = sized.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).join(goals, F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
     more = stash(lengths.groupBy("source").applyInPandas(per_source, "source string, size long, n long, whole long, more long"), "mix-plan").withColumnRenamed("source", "_s").withColumnRenamed("size", "_n")
-    # the size of a bucket hangs on its group, so all rows of a group agree on it; a hot group has many buckets
+    # the size of a bucket hangs on its group, so all rows of a group agree on it; a hot group has many buckets. Rows
+    # without an id are told apart by their place in the input
     dealt = sized.join(more, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")), "left").withColumns({
         "n": F.coalesce("n", F.lit(0)), "whole": F.coalesce("whole", F.lit(0)), "more": F.coalesce("more", F.lit(0)),
-    }).drop("_s", "_n").withColumn("_h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_b", F.pmod(F.col("_h"), F.ceil(F.greatest("n", F.lit(1)) / bucket)))
+    }).drop("_s", "_n").withColumn("_h", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")), F.lit(seed))).withColumn("_b", F.pmod(F.col("_h"), F.ceil(F.greatest("n", F.lit(1)) / bucket)))
     edge = Window.partitionBy("source", "size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = dealt.filter("more > 0 AND more < n").groupBy("source", "size", "_b").agg(F.count(F.lit(1)).alias("_in"), F.first("more").alias("_more")).withColumn("_before", F.coalesce(F.sum("_in").over(edge), F.lit(0)))
     # buckets fully before the edge go whole; none after it; the one at the edge is ranked
     cut = buckets.filter("_before < _more").select(F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("_b").alias("_eb"), "_before", "_in")
     joined = dealt.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")) & (F.col("_b") == F.col("_eb")), "left")
     at_edge = F.col("_before").isNotNull() & (F.col("_before") + F.col("_in") > F.col("more"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "_b", F.when(at_edge, F.lit(0)).otherwise(F.col("_h"))).orderBy("_h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "_b", F.when(at_edge, F.lit(0)).otherwise(F.col("row"))).orderBy("_h", "doc_id", "row"))
     ranked = joined.withColumn("_r", rank)
     picked = F.when(F.col("more") >= F.col("n"), F.col("n") > 0).when(F.col("_before").isNull(), False).when(at_edge, F.col("_before") + F.col("_r") <= F.col("more")).otherwise(True)
-    out = ranked.withColumn("_x", picked.cast("long")).select("doc_id", "source", "size", "whole", "_x")
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(s, n, float(t)) for (s, n), t in zip(per, want, strict=True)], "_s string, source_size long, target double")
-    return out.join(table, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("_x")).otherwise(0).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = ranked.withColumn("_x", picked.cast("long")).select("row", "doc_id", "source", "size", "whole", "_x")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("_x")).otherwise(0).cast("long")
+    return out.join(goals, F.col("source").eqNullSafe(F.col("_g"))).withColumn("copies", copies).drop("_g", "whole", "_x")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7, bucket: int = 512, size: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (times the document is taken) and taken (words), a row for
+    each row of docs."""
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").cast("string").alias("source"), (word_count(F.col("text")) if size is None else size).alias("size"))
+    planned = _plan(stash(own, "mix"), weights, most, seed, bucket)
+    return planned.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7, bucket: int = 512) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it does, with all columns."""
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("row"), word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "mix-rows")
+    sized = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), "size")
+    taken = _plan(sized, weights, most, seed, bucket).filter("copies > 0").select(F.col("row").alias("_row"), "copies")
+    return rows.join(taken, F.col("row") == F.col("_row")).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")

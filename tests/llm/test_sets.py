@@ -171,7 +171,7 @@ def test_rows_without_an_id_or_with_a_shared_one(spark):
     want, _ = brute_join(rows)
     assert sort(map(tuple, op10_jaccard.join(df).collect())) == sort(want)
     kept = op10_jaccard.dedupe(df)
-    assert kept.schema == df.schema
+    assert kept.dtypes == df.dtypes
     assert sort((r[0], r[1]) for r in kept.collect()) == sort([(5, near), (None, other), (7, "alone with seven words in this text"), (None, None), (8, "")])
 
 
@@ -307,6 +307,46 @@ def test_pack(docs, odd, empty):
     assert op9_pack.pack(empty).collect() == []
 
 
+def test_packing_keeps_ids(spark):
+    """Ids that no float holds, beside nulls; and any number of equal rows without an id is spread over shards."""
+    ids = [2**60 + 1, 2**60 + 2, None, -(2**62) - 1]
+    df = spark.createDataFrame([(d, f"some words {i}", "s") for i, d in enumerate(ids)], "doc_id long, text string, source string")
+    assert sorted((r["doc_id"] for r in op9_pack.pack(df).collect()), key=str) == sorted(ids, key=str)
+    same = spark.createDataFrame([(None, "the same words again", "s")] * 600, "doc_id long, text string, source string")
+    rows = op9_pack.pack(same, shard_rows=100).collect()
+    assert len(rows) == 600 and max(Counter(r["shard"] for r in rows).values()) < 200
+
+
+def test_targets_over_many_sources(spark):
+    """Ranks and targets worked out by Spark are those of the plain version; weights go by code points, null last."""
+    rng = np.random.default_rng(3)
+    names = [f"host{i}.example" for i in range(300)] + ["é", "Z", "a", "", None]
+    sizes = [int(x) for x in rng.integers(1, 10**6, len(names))]
+    df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, source_size long").repartition(5)
+    order = sorted(range(len(names)), key=lambda i: (names[i] is None, (names[i] or "").encode()))
+    want = dict(zip([names[i] for i in order], op8_mix.targets([sizes[i] for i in order], [(5, 2, 1)[k % 3] for k in range(len(order))]), strict=True))
+    got = {r["source"]: r["target"] for r in op8_mix.with_targets(op8_mix.by_rank(df, (5.0, 2.0, 1.0)), 3.0).collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_mix_takes_rows_one_by_one(spark):
+    """Rows that share an id, or have none, are taken by row: take() repeats just what mix() counts."""
+    rows = [(None, f"w{i} " * (i % 7 + 1), "ab"[i % 2]) for i in range(200)] + [(5, f"v{i} " * (i % 5 + 1), "ab"[i % 2]) for i in range(100)] + [(9, "", "c"), (10, None, "c"), (11, "x y z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = op8_mix.mix(df).collect()
+    taken = Counter()
+    for r in planned:
+        taken[r["source"]] += r["taken"]
+    out = op8_mix.take(df)
+    assert out.dtypes == df.dtypes
+    kept, got = out.collect(), Counter()
+    for r in kept:
+        got[r["source"]] += len(r["text"].split())
+    assert got == +taken and max(Counter(map(tuple, kept)).values()) <= 3
+    for s, target in {(r["source"], r["target"]) for r in planned}:
+        assert abs(target - taken[s]) <= 1 or s is None
+
+
 def test_pipeline(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
     at = docs
@@ -332,9 +372,23 @@ def test_pipeline(spark, docs):
 def test_pipeline_edges(spark, odd, empty):
     for df in (odd, empty):
         at = df
-        for _, stage in corpus_pipeline.STAGES:
-            at = stage(spark, at, "")
-        at.collect()
+        for name, stage in corpus_pipeline.STAGES:
+            before, at = at, stage(spark, at, "")
+            rows = [r.asDict() for r in at.collect()]
+            if name != "best-fit packing":
+                assert at.dtypes == df.dtypes
+            if name == "quality rules":
+                assert all(r["text"] and len(r["text"].split()) >= 50 for r in rows)
+            if name == "n-gram Jaccard join":
+                texts = [r["text"] for r in rows]
+                assert len(set(texts)) == len(texts) and set(texts) <= {r["text"] for r in before.collect()}
+            if name == "secret scans":
+                assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in before.collect())
+        words = sum(len((r["text"] or "").split()) + 1 for r in before.collect())
+        assert sum(r["length"] for r in rows) == words
+    own = spark.createDataFrame([(None, " ".join(f"w{i}" for i in range(60))), (None, " ".join(f"w{i}" for i in range(60))), (3, " ".join(f"v{i}" for i in range(60))), (3, " ".join(f"u{i}" for i in range(60)))], "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "60L as n_chars")
+    left = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality_rules(spark, own, ""), "").collect()
+    assert sorted(r["text"][0] for r in left) == ["u", "v", "w"]
 
 
 def test_one_id_with_different_texts(spark):
