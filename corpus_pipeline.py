@@ -15,25 +15,27 @@ from lattis.llm.work import documents, stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule of the policy go; a null text has no words and goes. Repeated rows are judged alike."""
     return op3_rules.filter_documents(docs, "v1")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies stays, one with its smallest id (rows without an id come last in this)."""
     return op10_jaccard.dedupe(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay, with the secrets in their texts struck out; a null text stays null."""
     return op7_secrets.redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = op8_mix.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n"))
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), taken["_n"]))
-    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), copies)
-    return repeated.select("doc.*")
+    """Rows are taken one by one, whatever their ids; those without words and those that the mix leaves out are dropped."""
+    return op8_mix.take(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row, with its bin; a null text is one token."""
     return op9_pack.pack(docs)
 
 
