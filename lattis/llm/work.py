@@ -15,26 +15,15 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-#: Where this session's stashes are, for drop_scratch().
-_STASHED: list[str] = []
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it again: cuts lineage, and survives lost executors. The files
+    are there until sources.scratch.drop_scratch()."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _STASHED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what stash() has written; frames that read it can't be used any more."""
-    while _STASHED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STASHED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -43,11 +32,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Rows in an Arrow batch: bounds a Python worker's memory where texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def slices(batches, rows: int = 1000):
     """The batches in slices of at most that many rows, so that what a function makes of them stays small. Spark itself
     bounds a batch by bytes (64 MB unless set otherwise), so long texts come in batches of few rows."""

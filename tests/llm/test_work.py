@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lattis.llm import op6_suffix, work
+from lattis.sources.scratch import drop_scratch
 
 
 def test_stash_and_drop(spark):
@@ -12,7 +13,7 @@ def test_stash_and_drop(spark):
     import os
 
     assert df.count() == 10 and os.path.isdir(path)
-    work.drop_scratch(spark)
+    drop_scratch(spark)
     assert not os.path.exists(path)
 
 
