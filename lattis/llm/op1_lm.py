@@ -2,18 +2,19 @@
 
 The model is a smoothed n-gram model (n is `order`) whose lowest order is the add-`alpha` unigram model, and
 p(w | h) = (c(h w) + mu * p(w | h')) / (c(h) + mu) with h' the context h without its first word. As an automaton, each
-seen context is a state; a seen n-gram is an arc with that weight; every other word leaves by the state's failure arc,
-weight mu / (c(h) + mu), to the state h', and last to the root state, whose arcs are the unigrams and one arc for all
-unknown words. Probabilities of a state sum to one. At order 2 every failure arc leads to the root. A document's score
-is the sum of log10 weights on its path. The state before a token is the words before it, so no state is carried: the
-weight of each token is worked out with its n-gram's arc and looked up by place, and a document's weights are added up.
+seen context is a state; a seen n-gram is an arc with that weight, to the state of the longest seen context that it
+ends with; every other word goes by the state's failure arc, weight mu / (c(h) + mu), to the state h', and last to the
+root state, whose arcs are the unigrams and one arc for all unknown words. Probabilities of a state sum to one. A
+document is read once from left to right: the state is carried from word to word, and the log10 weights of the
+arcs and failure arcs taken are added up.
 
 The counts cover every token of every training document, and no table of them is ever whole in one place: texts are
 coded in blocks (each input task cuts its rows to blocks of about BLOCK tokens and writes them out, so a block is
 fixed from then on); each block asks for the counts of its own distinct n-grams, as packed 64-bit keys dealt to
 buckets by key; a bucket adds up and answers each block; the block builds the part of the automaton that its documents
 can reach. A frequent word is one key for each block, so no key is hot. There are never more rows in this exchange than
-keys, so it stays in proportion to the input however many blocks and buckets there are. Two different n-grams of a
+keys, so it stays in proportion to the input however many blocks and buckets there are; buckets are as many as it takes for
+about KEYS questions to one, and a task holds one of them. Two different n-grams of a
 corpus of n distinct ones share a key with a chance of about n * n / 3.7e19.
 
 Defined results: a null text counts as empty (one token, its end); documents with a null doc_id are training documents;
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lattis.llm.work import LOWER, by_group, groups_of, mix64, shuffle_partitions, slices, stash, texts
 
-BLOCK = 1_200_000
+BLOCK, KEYS = 1_200_000, 4_000_000
 ALPHA, MU, ORDER = 0.1, 4.0, 2
 START, END = b" <s>", b" </s>"  # no word holds a blank
 
@@ -197,27 +198,75 @@ def answer(asked: DataFrame, parts: int) -> DataFrame:
 
 
 class Automaton:
-    """The arcs that a block can reach: arcs[0] are the root's, by word; arcs[n - 1] the weights, failure arcs and all, of
-    the paths on which the n-grams of length n are read."""
+    """The part of the model that a block can reach. State 0 is the root, with an arc for each word. Every context of 1 to
+    order - 1 words has a state, numbered by length. An arc (state, word) stands in the sorted array `keys`, with its weight
+    and the state it leads to, the longest context that is seen there. Any other word goes by the failure arc: the
+    state's `back` weight, and on from `fail`, the state of the context without its first word."""
 
     def __init__(self, grams: Grams, counts: np.ndarray, total: int, types: int, starts: int, alpha: float, mu: float):
-        by_length = np.split(counts, np.cumsum(grams.sizes)[:-1])
-        self.grams, self.root = grams, np.log10((by_length[0] + alpha) / (total + alpha * (types + 1)))
-        self.arcs = [self.root]
-        for n in range(1, len(grams.sizes)):
-            seen = by_length[n - 1].astype(np.float64)
+        by_length, order = np.split(counts, np.cumsum(grams.sizes)[:-1]), len(grams.sizes)
+        self.n_words, self.order, self.start = grams.sizes[0], order, 1 if starts and order > 1 else 0
+        self.root = np.log10((by_length[0] + alpha) / (total + alpha * (types + 1)))
+        first = 1 + np.concatenate([[0], np.cumsum(grams.sizes[: order - 1])]).astype(np.int64)
+        self.root_to, self.fail, self.back = np.zeros(self.n_words, np.int64), np.zeros(first[-1], np.int64), np.zeros(first[-1])
+        keys, weights, to, path = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], self.root
+        for n in range(1, order):  # contexts of n words, and the arcs that leave them
+            times = by_length[n - 1].astype(np.float64)
             if n == 1:
-                seen[0], seen[1] = starts, 0  # as contexts: the start once a document, the end never
-            lower, state, count = self.arcs[-1][grams.lower[n]], seen[grams.context[n]], by_length[n]
-            self.arcs.append(np.where(count > 0, np.log10((count + mu * 10**lower) / (state + mu)), np.log10(mu / (state + mu)) + lower))
-
-    def traverse(self, lengths: np.ndarray) -> np.ndarray:
-        """Each document's sum of the weights on its path: a gather of each token's weight, by its longest n-gram there."""
-        weights = self.arcs[0][self.grams.place[0]]
-        for place, arcs in zip(self.grams.place[1:], self.arcs[1:], strict=True):
-            on = place >= 0
-            weights[on] = arcs[place[on]]
-        return np.add.reduceat(weights, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+                times[0], times[1] = starts, 0  # as contexts: the start once a document, the end never
+                self.root_to = np.where(times > 0, first[0] + np.arange(self.n_words), 0)
+            else:
+                self.fail[first[n - 1] : first[n]] = first[n - 2] + grams.lower[n - 1]
+            back = np.log10(mu / (times + mu))
+            self.back[first[n - 1] : first[n]] = back
+            state, word, count, lower = grams.context[n], grams.word[n], by_length[n], path[grams.lower[n]]
+            on = np.flatnonzero(count)
+            weight = np.log10((count[on] + mu * 10 ** lower[on]) / (times[state[on]] + mu))
+            keys.append((first[n - 1] + state[on]) * self.n_words + word[on])
+            weights.append(weight)
+            to.append(first[n] + on if n + 1 < order else first[n - 1] + grams.lower[n][on])
+            path = back[state] + lower  # the weight on which a word is read from here, by failure arcs or by its arc
+            path[on] = weight
+        keys, weights, to = np.concatenate(keys), np.concatenate(weights), np.concatenate(to)
+        by = np.argsort(keys)
+        self.keys, self.weights, self.to = keys[by], weights[by], to[by]
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read a word from each state: the log10 weights of the arcs taken, failure arcs too, and the states reached."""
+        weight, state, open_ = np.zeros(len(states)), states.copy(), np.arange(len(states))
+        while len(open_):
+            at, word = state[open_], words[open_]
+            place = np.searchsorted(self.keys, at * self.n_words + word)
+            hit = (at > 0) & (place < len(self.keys))
+            hit[hit] = self.keys[place[hit]] == at[hit] * self.n_words + word[hit]
+            read, root = open_[hit], open_[at == 0]
+            weight[read] += self.weights[place[hit]]
+            state[read] = self.to[place[hit]]
+            weight[root] += self.root[words[root]]
+            state[root] = self.root_to[words[root]]
+            open_, at = open_[~hit & (at > 0)], at[~hit & (at > 0)]
+            weight[open_] += self.back[at]
+            state[open_] = self.fail[at]
+        return weight, state
+
+    def traverse(self, lengths: np.ndarray, codes: np.ndarray, piece: int = 512) -> np.ndarray:
+        """Each document's log10 probability, by one traversal from left to right that carries the state. All documents of the
+        block are read side by side. A long one is read in pieces side by side as well: a state hangs on the last
+        order - 1 words alone, so a piece begins at the root with the words before it, which it doesn't count."""
+        begins, n = np.concatenate([[0], np.cumsum(lengths)[:-1]]), -(-lengths // piece)
+        doc = np.repeat(np.arange(len(lengths)), n)
+        k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        counted = begins[doc] + k * piece
+        at, stop = np.where(k > 0, counted - (self.order - 1), counted), np.minimum(counted + piece, begins[doc] + lengths[doc])
+        by = np.argsort(at - stop, kind="stable")  # the longest first, so that those still being read come first
+        doc, at, stop, counted = doc[by], at[by], stop[by], counted[by]
+        sizes, state, sums = stop - at, np.where(k[by] > 0, 0, self.start), np.zeros(len(doc))
+        for t in range(int(sizes[0]) if len(sizes) else 0):
+            on = np.searchsorted(-sizes, -t)  # sizes above t
+            here = at[:on] + t
+            weight, state[:on] = self.step(state[:on], codes[here])
+            sums[:on] += np.where(here >= counted[:on], weight, 0)
+        return np.bincount(doc, sums, len(lengths))
 
 
 def score(docs: DataFrame, alpha: float = ALPHA, mu: float = MU, order: int = ORDER) -> DataFrame:
@@ -226,8 +275,9 @@ def score(docs: DataFrame, alpha: float = ALPHA, mu: float = MU, order: int = OR
     coded = stash(code_blocks(docs), "lm-blocks")
     totals = coded.agg(F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("d")).first()
     total, starts = int(totals["n"] or 0), int(totals["d"] or 0)
-    parts = shuffle_partitions(spark)
-    buckets = 3 * parts  # several to a task, as they are dealt by hash: the fullest task is then nearer to the mean
+    # several to a task, as they are dealt by hash: the fullest task is then nearer to the mean
+    buckets = max(3 * shuffle_partitions(spark), -(-total * order // KEYS))
+    parts = -(-buckets // 3)
     answered = stash(answer(ask(coded, buckets, order), parts), "lm-counts")
     per_bucket = answered.groupBy("bucket").agg(F.max("n_types").alias("n"))
     types = int(per_bucket.agg(F.sum("n")).first()[0] or 0)
@@ -247,7 +297,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, mu: float = MU, order: int = OR
         return pa.table({
             "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": pa.array(lengths, pa.int64()),
             "n_known": pa.array(np.add.reduceat((counts[: len(words)][codes] > 0).astype(np.int64), first)), "train_tokens": pa.array(np.full(n, total, np.int64)),
-            "base_score": pa.array(np.add.reduceat(auto.root[codes], first)), "score": pa.array(auto.traverse(lengths)),
+            "base_score": pa.array(np.add.reduceat(auto.root[codes], first)), "score": pa.array(auto.traverse(lengths.astype(np.int64), codes)),
         })
 
     return coded.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
