@@ -179,8 +179,9 @@ def digest(featured: DataFrame) -> DataFrame:
             for media, tensor in zip(batch.column("media").to_pylist(), batch.column("tensor").to_pylist(), strict=True):
                 payload, table = samples(media), read_tensor(tensor)
                 clips = table.column("clip").to_numpy_ndarray()
-                spans = sum(len(s) for s in table.column("segments").to_pylist())
-                text = json.dumps({"clips": len(clips), "segments": spans, "mel": [round(float(v), 2) for v in clips.mean(axis=(0, 1))]})
+                spans = [[x["start"], x["end"]] for s in table.column("segments").to_pylist() for x in s]
+                mean = [round(float(v), 2) for v in clips.mean(axis=(0, 1))]
+                text = json.dumps({"clips": len(clips), "segments": len(spans), "spans": spans, "mel": mean, "tensor_sha256": hashlib.sha256(np.ascontiguousarray(clips)).hexdigest()})
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), text))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
