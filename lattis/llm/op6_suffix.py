@@ -493,10 +493,11 @@ def cut(blocks: DataFrame, repeats: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay), a row for each row of docs."""
-    spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     blocks = stash(text_blocks(docs), "texts")
+    n, parts = blocks.count(), shuffle_partitions(docs.sparkSession)
+    # what a task holds hangs on the data: a bucket has the anchors of 64 blocks, a shard the contexts of 4
+    buckets, shards = max(parts, n // 64), max(2 * parts, n // 4)
     answered = stash(answer(ask(blocks, buckets), buckets), "anchors")
-    found = stash(find_repeats(contexts(blocks, answered, buckets, 2 * buckets), buckets, 2 * buckets), "repeats")
+    found = stash(find_repeats(contexts(blocks, answered, buckets, shards), buckets, shards), "repeats")
     repeats = found.filter("kind = 0").selectExpr("at AS block", "a AS firsts", "b AS runs").union(merge_edges(found.filter("kind = 1")))
     return cut(blocks, repeats)
