@@ -3,11 +3,11 @@
 Candidates are runs of 16 or more token characters, of letters alone too, and runs of any length right after a hint word
 with = or : (`passwd: "x7Kq2mP9"`; to the closing quote or the next blank, bracket, comma or parameter). The forest (grown here with numpy, on the driver, from a bounded
 set of labelled findings) judges a candidate by its length, the transitions of its characters (their kinds, and how
-likely they are under a chain fitted to the findings that are no secrets), how far dictionary words cover it, whether
-it is shaped like a path, an address or a number, the path of its file (a column `path`, where docs has one) and the
+likely they are under a chain fitted to the findings that are no secrets), how far dictionary words cover it (the DICTIONARY most
+frequent words of the whole corpus, counted over all texts, with a few of other sources), whether it is shaped like a path, an address or a number, the path of its file (a column `path`, where docs has one) and the
 words next to it. The findings are a parameter; by default a seeded generator writes FINDINGS of them, half secrets in several formats, half look-alikes
-(paths, addresses, versions, checksums, identifiers, long words, and literals, calls, counts or prose after a hint word). The forest is a few kB and goes to the tasks with the
-function; texts are read once, whole, with no shuffle.
+(paths, addresses, versions, checksums, identifiers, long words, and literals, calls, counts or prose after a hint word). The forest and the words are some 100 kB and go to the tasks with the
+function; texts are read whole, once for the words and once for the candidates, and only counts of words are shuffled.
 
 Defined results: a null text has no findings and stays null when redacted; doc_id is carried as it is; repeated rows give
 repeated findings; extra columns are ignored by scan() and kept by redact(); an empty table gives an empty result.
@@ -15,17 +15,21 @@ repeated findings; extra columns are ignored by scan() and kept by redact(); an
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lattis.llm.work import slices, texts
+from lattis.llm.work import slices, stash, texts
 
-FINDINGS = 4000
+FINDINGS, DICTIONARY = 4000, 5000
+SHORTEST, LONGEST = 4, 24  # of the dictionary's words
 CANDIDATE = re.compile(rb"[A-Za-z0-9_+/=.@:\-]{16,}")
 HINTS = (b"token", b"secret", b"password", b"passwd", b"pwd", b"key", b"auth", b"bearer", b"credential", b"private", b"access")
 HARMLESS = (b"commit", b"checksum", b"sha256", b"md5", b"version", b"revision", b"file", b"path", b"url", b"mail", b"id", b"uuid", b"digest")
@@ -39,6 +43,8 @@ STRONG = (b"password", b"passwd", b"passphrase", b"pwd", b"secret")
 NAMES = (*HINTS, b"passphrase")
 LITERALS = {b"true", b"false", b"none", b"null", b"nil", b"yes", b"no", b"on", b"off", b"string", b"str", b"bytes", b"int", b"required", b"optional", b"undefined", b"todo", b"empty", b"hidden", b"invalid", b"missing", b"expired", b"xxx", b"self", b"this", b"the", b"a", b"is", b"not", b"it", b"to", b"see", b"bearer", b"basic"}
 WORDS = (b"answer", b"bridge", b"castle", b"dragon", b"summer", b"winter", b"monkey", b"horse", b"battery", b"staple", b"correct", b"garden", b"window", b"silver", b"coffee", b"orange", b"river", b"planet", b"shadow", b"welcome", b"geschwindigkeit", b"verantwortung", b"wissenschaft", b"entwicklung", b"gesellschaft", b"lebensmittel", b"versicherung", b"straight", b"understanding", b"international", b"responsibility", b"administration", b"communication", b"characteristic", b"developpement", b"gouvernement", b"particulierement", b"conocimiento", b"desarrollo", b"responsabilidad", b"universidad", b"internacional")
+#: A-Z to a-z; all that is no letter of these becomes a space.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
 COLUMNS = "doc_id long, start long, length long, sha256 string, score double, is_secret boolean"
 
 
@@ -60,7 +66,39 @@ def fit_transitions(candidates: list[bytes]) -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def features(candidate: bytes, before: bytes, after: bytes, path: bytes, chain: np.ndarray) -> list[float]:
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[bytes]:
+    """The most frequent words of SHORTEST to LONGEST letters in all texts; a word that occurs once is none."""
+
+    def count(batches):
+        seen: Counter = Counter()
+
+        def rows():
+            own = {w: n for w, n in seen.items() if SHORTEST <= len(w) <= LONGEST}
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in own], pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
+
+        for batch in slices(batches):
+            for text in texts(batch.column(0)):
+                seen.update(text.translate(LETTERS).split())
+            if len(seen) > 200_000:
+                yield rows()
+                seen.clear()
+        yield rows()
+
+    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    return frozenset(r["word"].encode() for r in stash(counted.orderBy(F.desc("n"), "word").limit(size).select("word"), "dictionary").collect())
+
+
+def covered_share(low: bytes, words: frozenset[bytes]) -> float:
+    """The share of a candidate's bytes that dictionary words cover, taken from the left, the longest first."""
+    at = covered = 0
+    while at < len(low):
+        n = next((k for k in range(min(LONGEST, len(low) - at), SHORTEST - 1, -1) if low[at : at + k] in words), 0)
+        covered += n
+        at += n or 1
+    return covered / max(1, len(low))
+
+
+def features(candidate: bytes, before: bytes, after: bytes, path: bytes, chain: np.ndarray, words: frozenset[bytes] = frozenset(WORDS)) -> list[float]:
     """What the forest sees of a candidate, the bytes next to it and its file's path."""
     n, symbols = len(candidate), _symbols(candidate)
     kind = bytes(1 if 48 <= b <= 57 else 2 if 65 <= b <= 90 else 3 if 97 <= b <= 122 else 4 for b in candidate)
@@ -76,26 +114,27 @@ def features(candidate: bytes, before: bytes, after: bytes, path: bytes, chain:
     follows = re.findall(rb"[a-z]+", after.lower())[:1]
     name = NAME.search(before.rstrip(b" \t\"'`=:>")) if before.rstrip(b" \t\"'`>")[-1:] in (b"=", b":") else None
     name = name[1].lower() if name else b""
-    covered_by_words = sum(low.count(w) * len(w) for w in WORDS)
     return [
         n, share(1), share(2), share(3), share(4), turns, vowels, hexes, min(1.0, covered / n), float(-(counts * np.log2(counts)).sum()),
         candidate.count(b"/") / n, candidate.count(b".") / n, float(b"@" in candidate), float(b"://" in candidate), candidate.count(b"-") / n,
         float(any(h in near or h in low[:12] for h in HINTS)), float(any(h in near for h in HARMLESS)),
         float(before.rstrip(b" \"'`")[-1:] in (b"=", b":")), float(before[-1:] in (b'"', b"'", b"`")), float(bool(follows) and follows[0] in HARMLESS),
         float(chain[symbols[:-1], symbols[1:]].mean()) if n > 1 else 0.0, float(any(w in path.lower() for w in SAMPLES)), float(path.lower().endswith(CONFIG)),
-        float(any(h in name for h in STRONG)), float(any(h in name for h in NAMES)), float(low in LITERALS), float(after[:1] == b"("), min(1.0, covered_by_words / n),
+        float(any(h in name for h in STRONG)), float(any(h in name for h in NAMES)), float(low in LITERALS), float(after[:1] == b"("), covered_share(low, words),
         float(before[-1:] == b" " and bool(re.match(rb"\W? ?[a-z]", after))), float(any(w in low for w in (b"your", b"change", b"env", b"get", b"config", b"${"))),
     ]
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[tuple[bytes, bytes, bytes, bytes, int]]:
-    """(candidate, text before, text after, path or empty, 1 if it is a secret), half of them secrets."""
+def labelled_findings(n: int = FINDINGS, seed: int = 3, words: frozenset[bytes] = frozenset()) -> list[tuple[bytes, bytes, bytes, bytes, int]]:
+    """(candidate, text before, text after, path or empty, 1 if it is a secret), half of them secrets. Words in them are
+    those given and WORDS, half of each."""
     r = random.Random(seed)
+    known = sorted(words)
     hexa, alnum = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     draw = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     word = lambda: "".join(r.choice(COMMON).decode() for _ in range(r.randint(1, 3)))
     out = []
-    real = lambda: r.choice(WORDS).decode()
+    real = lambda: r.choice(known if known and r.random() < 0.5 else WORDS).decode()
     letters = alnum[:52]
     for i in range(n):
         short = i % 8 >= 6  # a quarter are values that only their name gives away
@@ -200,18 +239,25 @@ def vote(forest: list[np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """A forest, and the chain that its transition feature needs."""
+    """A forest, and the chain and the words that its features need."""
 
-    def __init__(self, findings, **how):
+    def __init__(self, findings, words: frozenset[bytes] = frozenset(), **how):
+        self.words = frozenset(WORDS) | words
         self.chain = fit_transitions([c for c, *_, y in findings if not y])
-        self.forest = grow_forest(np.array([features(*f[:4], self.chain) for f in findings]), np.array([f[4] for f in findings], float), **how)
+        self.forest = grow_forest(np.array([features(*f[:4], self.chain, self.words) for f in findings]), np.array([f[4] for f in findings], float), **how)
 
     def scores(self, found: list[tuple[bytes, bytes, bytes, bytes]]) -> np.ndarray:
-        return vote(self.forest, np.array([features(*f, self.chain) for f in found])) if found else np.zeros(0)
+        return vote(self.forest, np.array([features(*f, self.chain, self.words) for f in found])) if found else np.zeros(0)
+
+
+@functools.lru_cache(maxsize=4)
+def _trained(words: frozenset[bytes]) -> Model:
+    return Model(labelled_findings(words=words), words)
 
 
-def train(findings=None, **how) -> Model:
-    return Model(labelled_findings() if findings is None else findings, **how)
+def train(findings=None, words: frozenset[bytes] = frozenset(), **how) -> Model:
+    """A model of labelled findings (generated ones unless some are given) and a corpus's words."""
+    return _trained(words) if findings is None and not how else Model(labelled_findings(words=words) if findings is None else findings, words, **how)
 
 
 def _hinted(text: bytes) -> list[tuple[int, int]]:
@@ -273,7 +319,7 @@ def _paths(batch: pa.RecordBatch) -> list[bytes]:
 def scan(docs: DataFrame, model: Model | None = None, threshold: float = 0.5) -> DataFrame:
     """A row for each candidate: doc_id, its place in the text's UTF-8 bytes, the sha256 of its bytes, the forest's
     score, and is_secret (score at or over the threshold)."""
-    model = train() if model is None else model
+    model = train(words=dictionary(docs)) if model is None else model
 
     def run(batches):
         for batch in slices(batches):
@@ -290,7 +336,7 @@ def scan(docs: DataFrame, model: Model | None = None, threshold: float = 0.5) ->
 
 def redact(docs: DataFrame, model: Model | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret in text replaced by mark; n_chars, where there is one, follows."""
-    model, mark_b = train() if model is None else model, mark.encode()
+    model, mark_b = train(words=dictionary(docs)) if model is None else model, mark.encode()
 
     def run(batches):
         for batch in slices(batches):
