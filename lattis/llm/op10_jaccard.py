@@ -9,9 +9,11 @@ compared with all others in it by brute force, and what is still open after PAIR
 larger bucket, all sets are compared with one of them, the hub: those with an estimate of TIGHT or more leave, and those
 that any partner of one that left must be among (the estimate is a metric) are linked to the hub, so no pair is lost;
 the rest is split. The number of runs follows from the target recall and the depth reached. What is linked so
-are candidates with an estimate of at least 0.8 - MARGIN; within each component of candidates, all pairs are then compared
-exactly, on whole texts, in blocks of BLOCK texts or BLOCK_WORDS words, which gives the links, their number for each text,
-and the classes (components of links).
+are candidates with an estimate of at least 0.8 - MARGIN; within each component of candidates, all pairs are then judged
+exactly, on whole texts, which gives the links, their number for each text, and the classes (components of links). Pairs are
+compared in blocks of BLOCK texts or BLOCK_WORDS words. In a component of more than a block, texts within half the bound's distance
+of its centre are linked without a comparison, as the distance is a metric: so a hot group of near copies of one text takes time
+in proportion to its size, and only its outliers are compared with all.
 
 Defined results: doc_id (an integer), class_id (smallest doc_id of its class), n_links (different texts that this one is linked
 with), n_copies (rows with the same words, itself included), a row for each row of docs. Texts with fewer than five words
@@ -312,20 +314,70 @@ def exact_links(rows: DataFrame, least: float) -> DataFrame:
     return by_group(rows, "key", "side", "id").mapInArrow(run, "id long, other long, links long")
 
 
+def cores(members: DataFrame, radius: float) -> DataFrame:
+    """Of members (id, root, m, text), m texts to a component: id, and core, whether its distance from the component's centre (the set
+    of the shingles that more than half of the texts have) is at most radius. The distance is a metric, so two texts of
+    the core are no farther apart than twice that. Centres are counted over all members, pre-aggregated in each task."""
+
+    def spread(batches):
+        hashes = _Hashes()
+        for batch in slices(batches):
+            sets = [np.unique(shingles(t.translate(ALNUM).split(), hashes)) for t in texts(batch.column("text"))]
+            sizes = [len(x) for x in sets]
+            root, m, s = (np.repeat(np.asarray(batch.column(c)), sizes) for c in ("root", "m", "m"))
+            s = np.concatenate(sets).view(np.int64)
+            order = np.lexsort((s, root))
+            root, m, s = root[order], m[order], s[order]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(root) != 0) | (np.diff(s) != 0)]))
+            yield pa.RecordBatch.from_arrays([pa.array(root[first]), pa.array(m[first]), pa.array(s[first]), pa.array(np.diff(np.append(first, len(s))))], names=["root", "m", "shingle", "n"])
+
+    def measure(batches):
+        hashes = _Hashes()
+        for batch in slices(batches, 200):
+            core = []
+            for text, centre in zip(texts(batch.column("text")), batch.column("centre"), strict=True):
+                own = np.unique(shingles(text.translate(ALNUM).split(), hashes))
+                centre = np.asarray(centre.values).view(np.uint64)
+                common = int(np.isin(own, centre).sum())
+                core.append(1 - common / (len(own) + len(centre) - common) <= radius - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(core, pa.bool_())], names=["id", "core"])
+
+    counted = members.select("root", "m", "text").mapInArrow(spread, "root long, m long, shingle long, n long").groupBy("root", "m", "shingle").agg(F.sum("n").alias("n"))
+    centres = stash(counted.filter(2 * F.col("n") > F.col("m")).groupBy("root").agg(F.collect_list("shingle").alias("centre")).withColumnRenamed("root", "_root"), "centres")
+    return members.select("id", "root", "text").join(centres, F.col("root") == F.col("_root")).select("id", "text", "centre").mapInArrow(measure, "id long, core boolean")
+
+
+def _blocks(signed: DataFrame, reps: DataFrame, comps: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """What there is to compare in components (id, root) of candidates: rows (key, side, id) of groups of texts of which all
+    pairs, or all across, are to be compared; and the links that need no comparison, as exact_links() has them. In a component of more
+    than a block, the texts of the core are all linked with one another, so no two blocks of it are compared."""
+    own = stash(comps.join(reps.select(F.col("id").alias("_id"), "n_words"), F.col("id") == F.col("_id")).select("id", "root", "n_words"), "members")
+    count = lambda n, words: F.greatest(F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS)).cast("int")
+    sizes = stash(own.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("w")).select(F.col("root").alias("_root"), "m", count(F.col("m"), F.col("w")).alias("nb")), "sizes")
+    big = own.join(sizes.filter("nb > 1"), F.col("root") == F.col("_root")).select(F.col("id").alias("_id"), "root", "m")
+    core = stash(cores(signed.select(F.col("rid").alias("id"), "text").join(big, F.col("id") == F.col("_id")).select("id", "root", "m", "text"), (1 - least) / 2).filter("core"), "cores")
+    own = stash(own.join(core.select(F.col("id").alias("_id"), "core"), F.col("id") == F.col("_id"), "left").select("id", "root", "n_words", F.coalesce("core", F.lit(False)).alias("core")), "members")
+    part = lambda c: (F.sum(F.when(c, 1).otherwise(0)), F.sum(F.when(c, F.col("n_words")).otherwise(0)))
+    blocks = own.groupBy("root").agg(count(*part(F.col("core"))).alias("nc"), count(*part(~F.col("core"))).alias("ns"), F.count(F.when(F.col("core"), 1)).alias("mc"), F.min(F.when(F.col("core"), F.col("id"))).alias("first"))
+    members = own.join(stash(blocks.withColumnRenamed("root", "_root"), "blocks"), F.col("root") == F.col("_root"))
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    members = members.withColumn("own", F.when(F.col("core"), place(F.greatest("nc", F.lit(1)))).otherwise(F.col("nc") + place(F.greatest("ns", F.lit(1)))))
+    # a text of block x goes to the block pairs (x, y) and (y, x) that are to be compared
+    others = F.when(F.col("core") & (F.col("ns") == 0), F.array().cast("array<int>")).otherwise(F.sequence(F.when(F.col("core"), F.col("nc")).otherwise(0), F.col("nc") + F.col("ns") - 1))
+    pairs = members.select("id", "root", "own", F.explode(others).alias("y")).select("id", F.xxhash64("root", F.least("own", "y"), F.greatest("own", "y")).alias("key"), (F.col("own") > F.col("y")).cast("int").alias("side"))
+    sure = members.filter("core AND mc > 1").select("id", F.when(F.col("id") != F.col("first"), F.col("first")).alias("other"), (F.col("mc") - 1).alias("links"))
+    return pairs, sure
+
+
 def _join(signed: DataFrame, least: float, recall: float) -> DataFrame:
     """t1 and t2 (s1 and s2 of a text), class_id, keeper (the row of the class that stays), n_links, n_copies; signed is signatures(), written."""
     reps = signed.filter("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid", "n_words", "vec")).alias("r"), F.count(F.lit(1)).alias("n_copies"))
     # a text goes by the number of its first row, so ids may be null or repeated
     reps = stash(reps.select("s1", "s2", "n_copies", F.col("r.doc_id").alias("doc_id"), F.col("r.rid").alias("id"), F.col("r.n_words").alias("n_words"), F.col("r.vec").alias("vec")), "reps")
     comps = stash(components(candidates(reps.select("id", "vec"), recall, least - MARGIN)), "candidates")
-    own = stash(comps.join(reps.select(F.col("id").alias("_id"), "n_words"), F.col("id") == F.col("_id")).select("id", "root", "n_words"), "members")
-    sizes = own.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("w")).select(F.col("root").alias("_root"), F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("nb"))
-    members = own.join(stash(sizes, "blocks"), F.col("root") == F.col("_root")).select("id", "root", "nb").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    # a text of block x goes to the block pairs (x, y) and (y, x): as many rows as its component has blocks
-    pairs = members.select("id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y")).select(
-        F.col("id").alias("_id"), F.xxhash64("root", F.least("own", "y"), F.greatest("own", "y")).alias("key"), (F.col("own") > F.col("y")).cast("int").alias("side"))
-    whole = signed.select(F.col("rid").alias("id"), "text").join(pairs, F.col("id") == F.col("_id")).drop("_id")
-    exact = stash(exact_links(whole, least), "exact")
+    pairs, sure = _blocks(signed, reps, comps, least)
+    whole = signed.select(F.col("rid").alias("id"), "text").join(pairs.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
+    exact = stash(exact_links(whole, least).union(sure), "exact")
     classes = stash(components(exact.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "classes").withColumnRenamed("id", "_c")
     degrees = exact.groupBy("id").agg(F.sum("links").alias("n_links")).withColumnRenamed("id", "_d")
     # the class is named by its smallest doc_id, and the row with it stays; nulls come last
