@@ -24,6 +24,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~op3_rules.passes("base")).alias("base_failed"), op3_rules.passes("v1").alias("kept"), "failed")
 
 
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does, from the ledger's bits alone."""
+    return op3_rules.ablation(op3_rules.ledger(documents(spark, sf_dir)), "v1")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_license.scan(documents(spark, sf_dir)).drop("spans")
 
@@ -53,7 +58,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_quality_classifier, op3_quality_rules, op4_license_scan, op5_audio_features, op6_suffix_dedup, op7_secret_scan, op8_source_mix, op9_best_fit_pack, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_lm_score, op2_quality_classifier, op3_quality_rules, op4_license_scan, op5_audio_features, op6_suffix_dedup, op7_secret_scan, op8_source_mix, op9_best_fit_pack, op10_ngram_jaccard, rules_ablation)}
 
 
 OP3_SQL = r"""
@@ -83,6 +88,16 @@ FROM f
 """
 
 
+def _ablation_sql() -> str:
+    rules = ", ".join(f"('{name}', {1 << bit})" for name, (bit, _) in op3_rules.RULES.items())
+    return f"""
+WITH led AS ({OP3_SQL}), r(rule, bit) AS (VALUES {rules})
+SELECT rule, CAST(coalesce(sum(CASE WHEN failed & bit <> 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS fails, CAST(coalesce(sum(CASE WHEN failed = bit THEN 1 ELSE 0 END), 0) AS BIGINT) AS fails_alone,
+       CAST(coalesce(sum(CASE WHEN failed = 0 OR failed = bit THEN 1 ELSE 0 END), 0) AS BIGINT) AS kept_without
+FROM r LEFT JOIN led ON true GROUP BY rule
+"""
+
+
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
 
@@ -131,4 +146,4 @@ FROM keyed LEFT JOIN reps ON reps.k = keyed.k AND len(keyed.w) > 0 LEFT JOIN cla
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_license_scan": _op4_sql(), "op10_ngram_jaccard": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "rules_ablation": _ablation_sql(), "op4_license_scan": _op4_sql(), "op10_ngram_jaccard": OP10_SQL}

@@ -57,21 +57,41 @@ def test_lm_empty(empty):
     assert op1_lm.score(empty).collect() == []
 
 
-def test_lm_states_sum_to_one():
-    codes = np.array([2, 3, 2, 1, 2, 1, 3, 3, 1], np.int32)  # three texts over two words; 1 is the end
-    lengths = np.array([4, 2, 3], np.int32)
-    grams = op1_lm.Grams(lengths, codes, 4, 3)
-    counts = grams.counts(np.ones(9, bool))
-    a = op1_lm.Automaton(grams, counts, 9, 3, 3, 0.1, 4.0)
-    unknown = 0.1 / (9 + 0.1 * 4)
-    assert abs((10 ** a.root[1:]).sum() + unknown - 1) < 1e-12
-    for n in (1, 2):
-        for state in set(grams.context[n].tolist()):
-            own = np.flatnonzero(grams.context[n] == state)
-            below = a.arcs[n - 1][grams.lower[n][own]]
-            # what the seen arcs leave is what the failure arc spreads over the state below
-            seen = (counts[:4] if n == 1 else counts[4 : 4 + grams.sizes[1]])[state] if (n, state) != (1, 0) else 3
-            assert abs((10 ** a.arcs[n][own]).sum() - (counts[4 if n == 1 else 4 + grams.sizes[1] :][own].sum() + 4 * (10**below).sum()) / (seen + 4)) < 1e-12
+def small_automaton(order):
+    codes = np.array([2, 3, 2, 1, 2, 1, 3, 3, 2, 3, 1], np.int32)  # three texts over two words; 1 is the end
+    lengths = np.array([4, 2, 5])
+    grams = op1_lm.Grams(lengths, codes, 4, order)
+    return op1_lm.Automaton(grams, grams.counts(np.ones(len(codes), bool)), len(codes), 3, 3, 0.1, 4.0), lengths, codes
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_states_sum_to_one(order):
+    """From every state, the words' probabilities add up to one; code 0, never seen as a word, stands for all unknown ones."""
+    a, _, _ = small_automaton(order)
+    reached, todo = set(), [0, a.start]
+    while todo:
+        state = todo.pop()
+        if state not in reached:
+            reached.add(state)
+            weight, to = a.step(np.full(4, state), np.arange(4))
+            assert abs((10**weight).sum() - 1) < 1e-12
+            todo += to[2:].tolist()  # no word follows the end
+    assert len(reached) >= order and (a.fail < np.arange(len(a.fail)) + (np.arange(len(a.fail)) == 0)).all()
+
+
+@pytest.mark.parametrize(("order", "piece"), [(1, 2), (2, 1), (2, 512), (3, 2), (3, 512), (4, 3)])
+def test_lm_traversal_carries_the_state(order, piece):
+    """Reading word by word from the start gives what the traversal of all texts side by side does, cut to pieces or not."""
+    a, lengths, codes = small_automaton(order)
+    want, at = [], 0
+    for n in lengths:
+        state, sums = np.array([a.start]), 0.0
+        for w in codes[at : at + n]:
+            weight, state = a.step(state, np.array([w]))
+            sums += weight[0]
+        want.append(sums)
+        at += n
+    np.testing.assert_allclose(a.traverse(lengths, codes, max(piece, order - 1)), want, rtol=1e-12)
 
 
 def test_lm_predicts_better_than_its_base(docs):
@@ -96,6 +116,71 @@ def test_cotraining(spark, docs, odd, empty):
     assert op2_cotrain.train(odd, odd_labels) is None
 
 
+def plain_cotraining(rows, labels):
+    """Co-training in plain loops over lists: scores of all rows (doc_id, text, lang, source), with distinct ids."""
+    import math as m
+
+    sigmoid = lambda z: 1 / (1 + m.exp(-min(30, max(-30, z))))
+    seen = {}
+    for d, t, lang, source in rows:
+        t = (t or "").encode()
+        at, stats = op2_cotrain.content(t, op2_cotrain.Buckets())
+        words = np.zeros(op2_cotrain.DIMS)
+        for b in at:
+            words[b] += 10 / max(1, len(at))
+        meta = np.zeros(op2_cotrain.META)
+        meta[op2_cotrain.metadata(lang, source, len(t))] = 1
+        seen[d] = (np.concatenate([words, stats]), meta)
+    known = sorted(d for d in labels if d in seen)
+    fold = {d: zlib.crc32(str(d).encode()) % 4 == 0 for d in known}
+    given = [{d: labels[d] for d in known if not fold[d]} for _ in range(2)]  # what each view learns from
+    barred, order = [set(known), set(known)], list(known)
+    logit = lambda view, d, beta: float(seen[d][view] @ beta[:-1] + beta[-1])
+    for turn in range(op2_cotrain.ROUNDS + 1):
+        betas = []
+        for view in range(2):
+            own = [d for d in order if d in given[view]]
+            x, y = np.array([seen[d][view] for d in own], np.float32), np.array([given[view][d] for d in own], np.float32)
+            betas.append(op2_cotrain._fit(x, y, np.array([1.0 if d in fold else 0.5 for d in own], np.float32)))
+        if turn == op2_cotrain.ROUNDS:
+            break
+        chosen = {}
+        for view in range(2):
+            for label in (0, 1):
+                sure = []
+                for d in seen:
+                    p = 1 / (1 + m.exp(-min(700, max(-700, logit(1 - view, d, betas[1 - view])))))
+                    p = p if label else 1 - p
+                    if p >= op2_cotrain.SURE and d not in barred[view]:
+                        sure.append((-p, d))
+                for c, d in sorted(sure)[: op2_cotrain.GIVE]:
+                    chosen[view, d] = max(chosen.get((view, d), (0.0, 0)), (-c, label))
+        order += sorted({d for _, d in chosen} - set(order))
+        for (view, d), (_, label) in chosen.items():
+            given[view][d] = label
+            barred[view].add(d)
+    held = [d for d in order if fold.get(d)]
+    y, ones = np.array([labels[d] for d in held], np.float32), np.ones(len(held), np.float32)
+    z = np.array([[logit(v, d, betas[v]) for v in range(2)] for d in held])
+    platt = [op2_cotrain._fit(z[:, [v]].astype(np.float32), y, ones, 1e-4, 400) for v in range(2)]
+    platt = [p if p[0] > 0 else np.array([0.0, m.log(y.mean() / (1 - y.mean()))]) for p in platt]
+    mix = op2_cotrain._fit(np.array([[z[i, v] * platt[v][0] + platt[v][1] for v in range(2)] for i in range(len(held))], np.float32), y, ones, 1e-3, 400)
+    out = {}
+    for d in seen:
+        a, b = (logit(v, d, betas[v]) * platt[v][0] + platt[v][1] for v in range(2))
+        out[d] = (sigmoid(a), sigmoid(b), sigmoid(a * mix[0] + b * mix[1] + mix[2]))
+    return out
+
+
+def test_cotraining_against_a_plain_version(spark):
+    """All documents of sf0.01: the distributed rounds choose, learn and score as loops over lists do."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    want = plain_cotraining([tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()], {r["doc_id"]: int(r["quality"] > 0) for r in labels.collect()})
+    got = {r["doc_id"]: (r["text_score"], r["meta_score"], r["score"]) for r in op2_cotrain.score(docs, op2_cotrain.train(docs, labels)).collect()}
+    assert got.keys() == want.keys()
+    np.testing.assert_allclose([got[d] for d in want], list(want.values()), atol=2e-3)
+
+
 def test_cotraining_labels_documents_of_any_hash_and_absent_labels_take_no_place(spark):
     """Every unlabelled document can be given a label, repeated rows of an id count once, and labels of absent
     documents don't use up the bound on labelled rows."""
@@ -145,6 +230,53 @@ def test_secret_scan(spark, docs, odd, empty):
     assert planted <= hit
 
 
+def walk(tree, x):
+    at = 0
+    while tree[at, 0] >= 0:
+        at = int(tree[at, 2] if x[int(tree[at, 0])] <= tree[at, 1] else tree[at, 3])
+    return tree[at, 4]
+
+
+def test_secret_scan_against_brute_force(spark, docs, odd):
+    """Every candidate's score is the mean of its walks through the trees; every run of token characters is among the
+    candidates, but for what is trimmed from it; and taking out the secrets is all that redact() does."""
+    token = set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=.@:-")
+    for df in (docs, odd):
+        words = op7_secrets.dictionary(df)
+        model = op7_secrets.train(words=words)
+        raw = {r["doc_id"]: (r["text"] or "").encode() for r in df.select("doc_id", "text").collect()}
+        found = {}
+        for r in op7_secrets.scan(df, model).collect():
+            found.setdefault(r["doc_id"], {})[r["start"], r["start"] + r["length"]] = (r["score"], r["is_secret"])
+        new = {r["doc_id"]: r["text"] for r in op7_secrets.redact(df, model).collect()}
+        for d, text in raw.items():
+            own = found.get(d, {})
+            for (a, b), (score, secret) in own.items():
+                x = op7_secrets.features(text[a:b], text[max(0, a - 80) : a], text[b : b + 24], b"", model.chain, model.words)
+                assert abs(score - sum(walk(t, x) for t in model.forest) / len(model.forest)) < 1e-12 and secret == (score >= 0.5)
+            covered, run = {i for a, b in own for i in range(a, b)}, 0
+            for i in range(len(text) + 1):
+                if i < len(text) and text[i] in token:
+                    run += 1
+                    continue
+                if run >= 40:  # ends, and a name with = before it, are trimmed from shorter ones
+                    assert covered & set(range(i - run, i)), text[i - run : i]
+                run = 0
+            want = text
+            for a, b in sorted((k for k, v in own.items() if v[1]), reverse=True):
+                want = want[:a] + b"[SECRET]" + want[b:]
+            assert (new[d] or "").encode() == want
+
+
+def test_dictionary(spark, docs, odd, empty):
+    for df in (docs, odd):
+        counts = Counter(w for r in df.select("text").collect() for w in "".join(c.lower() if c.isascii() and c.isalpha() else " " for c in r["text"] or "").split() if 4 <= len(w) <= 24)
+        best = sorted((-n, w) for w, n in counts.items() if n > 1)[:300]
+        assert op7_secrets.dictionary(df, 300) == {w.encode() for _, w in best}
+    assert op7_secrets.dictionary(empty) == frozenset()
+    assert op7_secrets.covered_share(b"windowxkeys", frozenset([b"window", b"wind", b"keys"])) == 10 / 11
+
+
 SHORT = ["password=correcthorsebatterystaple", 'token = "QwhTzkLmRxvBnPsDfGjK"', 'passwd: "x7Kq2mP9"', "PWD=S3cr3t!pass", "the api_key=Zk81mQp2 was", 'token = b"x7Kq2mP9"']
 
 

@@ -90,6 +90,53 @@ def test_license_places(docs, odd, empty):
     assert op4_license.scan(empty).collect() == []
 
 
+def brute_license(text):
+    """(labels, score) by trying every template at every word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, best = set(), 0.0
+    for phrase, label in op4_license.BASE:
+        p = phrase.split()
+        if any(words[i : i + len(p)] == p for i in range(len(words))):
+            labels.add(label)
+            best = max(best, 0.5)
+    for label, notice, key in op4_license.TEMPLATES:
+        n, p = notice.split(), key.split()
+        at = next(i for i in range(len(n)) if n[i : i + len(p)] == p)
+        for i in range(len(words)):
+            if words[i : i + len(p)] == p:
+                score = sum(0 <= i - at + k < len(words) and words[i - at + k] == x for k, x in enumerate(n)) / len(n)
+                if score >= 0.6:
+                    labels.add(label)
+                    best = max(best, score)
+    return ",".join(sorted(labels)), best
+
+
+MIT = """MIT text. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
+the Software is furnished to do so, subject to the following conditions: The above copyright notice shall be included."""
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+def test_license_texts_against_brute_force(spark, docs, odd):
+    rng, pieces = np.random.default_rng(5), [MIT, ISC, GPL, "SPDX-License-Identifier: Apache-2.0", "GNU General Public License Version 3"]
+    pieces += [n for _, n, _ in op4_license.TEMPLATES] + [p for p, _ in op4_license.BASE]
+    made = []
+    for i in range(300):  # texts that hold some of them, words of which are lost or changed
+        words = " ".join([*(pieces[k] for k in rng.integers(0, len(pieces), 3)), "some other words"]).split()
+        made.append((i, " ".join(w if rng.random() > 0.04 else "x" for w in words if rng.random() > 0.02)))
+    frames = [spark.createDataFrame(made, "doc_id long, text string"), docs, odd]
+    for df in frames:
+        want = Counter((r["doc_id"], *brute_license(r["text"])) for r in df.select("doc_id", "text").collect())
+        assert Counter((r["doc_id"], r["labels"], r["score"]) for r in op4_license.scan(df).collect()) == want
+
+
+def test_license_texts(spark):
+    df = spark.createDataFrame([(1, MIT), (2, ISC), (3, GPL), (4, "permission to use a copy of this software free of charge is hereby granted to any person")], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in op4_license.scan(df).collect()} == {1: "mit", 2: "isc", 3: "gpl,gpl-3.0", 4: ""}
+
+
 def test_license_templates(spark):
     df = spark.createDataFrame([(1, "x. Licensed under the Apache License, Version 2.0."), (2, "Now licensed by an Apache License, Version 2.0!"), (3, "apache version 2 0 license the"), (4, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in op4_license.scan(df).collect()}
