@@ -323,3 +323,41 @@ def test_insert_and_delete_in_one_transaction(session):
     assert session.sql("select * from t;").rows() == [(3, 3)]
     session.script("begin; update t set b = 4; update t set b = 5; commit; create static_checkpoint; delete from t; create static_checkpoint; create static_checkpoint;")
     assert session.sql("select * from t;").rows() == []
+
+
+def test_a_commit_writes_what_it_changes_and_not_all_files(session, spark, tmp_path, monkeypatch):
+    from lattis.sources import storage
+
+    monkeypatch.setattr(storage, "LISTED", 3)
+    names = lambda kind: [n for n in session.db.folder.names() if n.startswith(kind)]
+    session.sql("create table t (a int); ")
+    session.sql("create table u (a int);")
+    for k in range(6):
+        session.append("t", spark.range(k * 100, k * 100 + 100, 1, 2).selectExpr("cast(id as int) as a"))
+    assert len(names("files-")) >= 2
+    lists = set(names("files-"))
+    session.sql("insert into u values (1);")
+    manifest = session.db.folder.read(max(names("manifest-")))
+    assert set(names("files-")) == lists and manifest.count(".parquet") <= 2 * 3
+    for k in range(5):
+        session.sql(f"delete from t where a < {k * 100 + 50};")
+        session.sql("create static_checkpoint;")
+        again = Session(Database(spark, session.db.folder.path))
+        want = [(600 - k * 100 - 50, k * 100 + 50, 599)]
+        for s in (session, again):
+            assert s.sql("select count(*) as n, min(a) as low, max(a) as high from t;").rows() == want
+    used = {n for own in session.db._lists.values() for n in own}
+    assert set(names("files-")) == used
+    session.db.refresh()
+    assert session.sql("select count(*) as n from t;").rows() == [(150,)]
+
+
+def test_float_columns_keep_32_bits(session):
+    """Keys, predicates and sums are those of the 32-bit numbers, before and after rows go to files."""
+    session.script("create table t (id int, f float); create index t(f); insert into t values (1, 0.1);")
+    for _ in range(2):
+        assert session.execute("insert into t values (2, 0.10000000001);") == "failure\n"
+        assert session.sql("select id from t where f = 0.1;").rows() == session.sql("select id from t where f <= 0.10000000001 and f >= 0.1;").rows() == [(1,)]
+        session.sql("create static_checkpoint;")
+    assert session.execute("insert into t values (3, 1e39);") == "failure\n"
+    assert session.execute("select max(f) as m from t group by id having max(f) = 0.1;") == "| m |\n| 0.100000 |\n"
