@@ -64,7 +64,12 @@ def test_joins(session):
 
 def test_join_hint_setting(session):
     session.script("create table a (id int); create table b (id int); insert into a values (1); insert into b values (1); set enable_nestloop = false; set enable_sortmerge = true;")
-    assert session.sql("select a.id from a join b on a.id = b.id;").rows() == [(1,)]
+    text, plan = "select a.id from a join b on a.id = b.id;", lambda r: r.df._jdf.queryExecution().executedPlan().toString()
+    merged = session.sql(text)
+    assert merged.rows() == [(1,)] and "SortMergeJoin" in plan(merged)
+    for hint, name in (("SHUFFLE_HASH", "ShuffledHashJoin"), ("BROADCAST", "BroadcastHashJoin"), ("MERGE", "SortMergeJoin")):
+        made = Session(session.db, hint=hint).sql(text)
+        assert made.rows() == [(1,)] and name in plan(made)
 
 
 def test_union(session):
