@@ -101,6 +101,20 @@ def test_large_groups_and_recall(spark, monkeypatch, hot, tries, block):
     assert sort(map(tuple, got)) == sort(want)
 
 
+def test_cores(spark):
+    """The centre has what more than half of the texts have; texts near it are linked with one another without a comparison."""
+    pairs = near_copies(200, 300, 11)[:200]
+    rows = [(i, 7, 200, t) for i, t in pairs] + [(1000 + i, 8, 3, t) for i, t in near_copies(3, 300, 12)[-3:]]
+    got = {r["id"]: r["core"] for r in op10_jaccard.cores(spark.createDataFrame(rows, "id long, root long, m long, text string"), 0.1).collect()}
+    sets = {i: shingles(words(t)) for i, t in pairs}
+    count = Counter(x for s in sets.values() for x in s)
+    centre = {x for x, n in count.items() if n > 100}
+    want = {i: 1 - len(s & centre) / len(s | centre) <= 0.1 - 1e-9 for i, s in sets.items()}
+    assert got == want and 20 < sum(want.values()) < 200  # unlike texts have no centre
+    core = [sets[i] for i, c in want.items() if c]
+    assert all(5 * len(a & b) >= 4 * len(a | b) for a in core for b in core)
+
+
 def pairs_at(bound, n, seed):
     """Embeddings of n pairs that agree in a share `bound` of the places on average, among sets that share a few values with all."""
     rng = np.random.default_rng(seed)
