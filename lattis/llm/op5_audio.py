@@ -144,50 +144,56 @@ def read_tensor(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(data).read_next_batch()
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes (before padding), media: the text's bytes, padded to a multiple of UNIT, as a WAV file."""
+STORED = "doc_id long, n_bytes long, media binary"
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def run(batches):
-        for batch in slices(batches):
-            raw = texts(batch.column("text"))
-            media = [wav(t + b"\0" * (-len(t) % UNIT or (0 if t else UNIT))) for t in raw]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+def _stored(batch: pa.RecordBatch) -> pa.RecordBatch:
+    raw = texts(batch.column("text"))
+    media = [wav(t + b"\0" * (-len(t) % UNIT or (0 if t else UNIT))) for t in raw]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """stored, with tensor (an Arrow IPC stream, see tensor_bytes) read from its media column."""
+def _featured(batch: pa.RecordBatch) -> pa.RecordBatch:
+    out = []
+    for media in batch.column("media").to_pylist():
+        mel = log_mel(samples(media))
+        out.append(tensor_bytes(mel, segments(mel)))
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "tensor"])
 
-    def run(batches):
-        for batch in slices(batches):
-            out = []
-            for media in batch.column("media").to_pylist():
-                mel = log_mel(samples(media))
-                out.append(tensor_bytes(mel, segments(mel)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "tensor"])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, media binary, tensor binary")
+def _digested(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
+    for media, tensor in zip(batch.column("media").to_pylist(), batch.column("tensor").to_pylist(), strict=True):
+        payload, table = samples(media), read_tensor(tensor)
+        clips = table.column("clip").to_numpy_ndarray()
+        spans = [[x["start"], x["end"]] for s in table.column("segments").to_pylist() for x in s]
+        mean = [round(float(v), 2) for v in clips.mean(axis=(0, 1))]
+        text = json.dumps({"clips": len(clips), "segments": len(spans), "spans": spans, "mel": mean, "tensor_sha256": hashlib.sha256(np.ascontiguousarray(clips)).hexdigest()})
+        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), text))
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+        names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+    )
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes (before padding), media: the text's bytes, padded to a multiple of UNIT, as a WAV file."""
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: map(_stored, slices(batches)), STORED)
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """stored, with tensor (an Arrow IPC stream, see tensor_bytes) read from its media column."""
+    return stored.mapInArrow(lambda batches: map(_featured, slices(batches)), STORED + ", tensor binary")
 
 
 def digest(featured: DataFrame) -> DataFrame:
     """Digests of the stored form and of the features, a row for each row."""
+    return featured.mapInArrow(lambda batches: map(_digested, slices(batches)), DIGESTS)
+
 
-    def run(batches):
-        for batch in slices(batches):
-            rows = []
-            for media, tensor in zip(batch.column("media").to_pylist(), batch.column("tensor").to_pylist(), strict=True):
-                payload, table = samples(media), read_tensor(tensor)
-                clips = table.column("clip").to_numpy_ndarray()
-                spans = [[x["start"], x["end"]] for s in table.column("segments").to_pylist() for x in s]
-                mean = [round(float(v), 2) for v in clips.mean(axis=(0, 1))]
-                text = json.dumps({"clips": len(clips), "segments": len(spans), "spans": spans, "mel": mean, "tensor_sha256": hashlib.sha256(np.ascontiguousarray(clips)).hexdigest()})
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), text))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return featured.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def analyse(docs: DataFrame) -> DataFrame:
+    """digest(features(store(docs))) in one pass through Python, few rows at a time: media and tensors stay in the worker."""
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: (_digested(_featured(_stored(b))) for b in slices(batches, 100)), DIGESTS)

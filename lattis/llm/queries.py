@@ -34,7 +34,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op5_audio.digest(op5_audio.features(op5_audio.store(documents(spark, sf_dir))))
+    return op5_audio.analyse(documents(spark, sf_dir))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

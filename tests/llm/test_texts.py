@@ -155,12 +155,13 @@ def test_audio_round_trip(docs, odd, empty):
             media = op5_audio.wav(p)
             want[(d["doc_id"], len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest())] += 1
         got = op5_audio.digest(op5_audio.features(op5_audio.store(df))).collect()
+        assert Counter(map(tuple, op5_audio.analyse(df).collect())) == Counter(map(tuple, got))
         assert Counter(tuple(r)[:7] for r in got) == want
         by_payload = {}
         for r in got:
             by_payload.setdefault(r["payload_sha256"], set()).add(r["feature"])
         assert all(len(v) == 1 for v in by_payload.values())
-    assert op5_audio.digest(op5_audio.features(op5_audio.store(empty))).collect() == []
+    assert op5_audio.digest(op5_audio.features(op5_audio.store(empty))).collect() == op5_audio.analyse(empty).collect() == []
 
 
 def test_audio_wav_is_standard():
