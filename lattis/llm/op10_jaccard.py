@@ -354,7 +354,8 @@ def _blocks(signed: DataFrame, reps: DataFrame, comps: DataFrame, least: float)
     own = stash(comps.join(reps.select(F.col("id").alias("_id"), "n_words"), F.col("id") == F.col("_id")).select("id", "root", "n_words"), "members")
     count = lambda n, words: F.greatest(F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS)).cast("int")
     sizes = stash(own.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("w")).select(F.col("root").alias("_root"), "m", count(F.col("m"), F.col("w")).alias("nb")), "sizes")
-    big = own.join(sizes.filter("nb > 1"), F.col("root") == F.col("_root")).select(F.col("id").alias("_id"), "root", "m")
+    # written, so that Spark knows how small it is before it shuffles the texts for a join with it
+    big = stash(own.join(sizes.filter("nb > 1"), F.col("root") == F.col("_root")).select(F.col("id").alias("_id"), "root", "m"), "big")
     core = stash(cores(signed.select(F.col("rid").alias("id"), "text").join(big, F.col("id") == F.col("_id")).select("id", "root", "m", "text"), (1 - least) / 2).filter("core"), "cores")
     own = stash(own.join(core.select(F.col("id").alias("_id"), "core"), F.col("id") == F.col("_id"), "left").select("id", "root", "n_words", F.coalesce("core", F.lit(False)).alias("core")), "members")
     part = lambda c: (F.sum(F.when(c, 1).otherwise(0)), F.sum(F.when(c, F.col("n_words")).otherwise(0)))
