@@ -266,18 +266,24 @@ def candidates(reps: DataFrame, recall: float, cut: float) -> DataFrame:
 
 
 def exact_links(rows: DataFrame, least: float) -> DataFrame:
-    """For groups of texts (key, side, id, text): id, other (an id that it is linked with; a spanning forest of the group's
-    links, enough for components) or null, links (number of its links in the group). In a group with both sides, only
-    pairs across are compared."""
+    """For groups of texts (key, root, side, id, text): id, other (an id that it is linked with; a spanning forest of the group's
+    links, enough for components) or null, links (number of its links in the group). Of sides 0 and 1, only pairs across are
+    compared (none where a side is empty); of side 2, all pairs."""
+
+    def parts(batches):
+        for _, table in groups_of(batches, "key"):  # keys are hashes: two components may share one
+            cuts = np.flatnonzero(np.diff(table.column("root").to_numpy())) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), table.num_rows], strict=True):
+                yield table.slice(lo, hi - lo)
 
     def run(batches):
         hashes, bound = _Hashes(), Fraction(str(least))  # 0.8 is 4/5, so that a similarity of just that counts
         num, den = bound.numerator, bound.denominator
         schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
-        for _, table in groups_of(batches, "key"):
-            if table.num_rows < 2:
-                continue
+        for table in parts(batches):
             ids, sides = table.column("id").to_numpy(), table.column("side").to_numpy()
+            if len(ids) < 2 or sides[0] == sides[-1] < 2:
+                continue
             sets = [np.unique(shingles((t or b"").translate(ALNUM).split(), hashes)) for t in table.column("text").cast(pa.binary()).to_pylist()]
             sizes = np.array([len(s) for s in sets])
             owner = np.repeat(np.arange(len(sets)), sizes)
@@ -286,7 +292,7 @@ def exact_links(rows: DataFrame, least: float) -> DataFrame:
             owner, column = owner[on], np.unique(place[on], return_inverse=True)[1]
             order = np.argsort(column, kind="stable")
             owner, column = owner[order], column[order]
-            across = int(np.searchsorted(sides, 1)) if sides[0] != sides[-1] else 0  # rows are sorted by side
+            across = int(np.searchsorted(sides, 1)) if sides[0] < 2 else 0  # rows are sorted by side
             left, right = (slice(0, across), slice(across, None)) if across else (slice(None), slice(None))
             common = np.zeros((len(sets[left]), len(sets[right])), np.float32)
             width = int(column.max()) + 1 if len(column) else 0
@@ -311,7 +317,7 @@ def exact_links(rows: DataFrame, least: float) -> DataFrame:
             hit = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([int(ids[label[k]]) if label[k] != k else None for k in hit], pa.int64()), pa.array(links[hit])], schema=schema)
 
-    return by_group(rows, "key", "side", "id").mapInArrow(run, "id long, other long, links long")
+    return by_group(rows, "key", "root", "side", "id").mapInArrow(run, "id long, other long, links long")
 
 
 def cores(members: DataFrame, radius: float) -> DataFrame:
@@ -348,8 +354,8 @@ def cores(members: DataFrame, radius: float) -> DataFrame:
 
 
 def _blocks(signed: DataFrame, reps: DataFrame, comps: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """What there is to compare in components (id, root) of candidates: rows (key, side, id) of groups of texts of which all
-    pairs, or all across, are to be compared; and the links that need no comparison, as exact_links() has them. In a component of more
+    """What there is to compare in components (id, root) of candidates: rows (key, root, side, id) of groups of texts of which all
+    pairs, or all across sides, are to be compared; and the links that need no comparison, as exact_links() has them. In a component of more
     than a block, the texts of the core are all linked with one another, so no two blocks of it are compared."""
     own = stash(comps.join(reps.select(F.col("id").alias("_id"), "n_words"), F.col("id") == F.col("_id")).select("id", "root", "n_words"), "members")
     count = lambda n, words: F.greatest(F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS)).cast("int")
@@ -365,7 +371,7 @@ def _blocks(signed: DataFrame, reps: DataFrame, comps: DataFrame, least: float)
     members = members.withColumn("own", F.when(F.col("core"), place(F.greatest("nc", F.lit(1)))).otherwise(F.col("nc") + place(F.greatest("ns", F.lit(1)))))
     # a text of block x goes to the block pairs (x, y) and (y, x) that are to be compared
     others = F.when(F.col("core") & (F.col("ns") == 0), F.array().cast("array<int>")).otherwise(F.sequence(F.when(F.col("core"), F.col("nc")).otherwise(0), F.col("nc") + F.col("ns") - 1))
-    pairs = members.select("id", "root", "own", F.explode(others).alias("y")).select("id", F.xxhash64("root", F.least("own", "y"), F.greatest("own", "y")).alias("key"), (F.col("own") > F.col("y")).cast("int").alias("side"))
+    pairs = members.select("id", "root", "own", F.explode(others).alias("y")).select("id", "root", F.xxhash64("root", F.least("own", "y"), F.greatest("own", "y")).alias("key"), F.when(F.col("own") == F.col("y"), 2).otherwise((F.col("own") > F.col("y")).cast("int")).alias("side"))
     sure = members.filter("core AND mc > 1").select("id", F.when(F.col("id") != F.col("first"), F.col("first")).alias("other"), (F.col("mc") - 1).alias("links"))
     return pairs, sure
 

@@ -101,6 +101,16 @@ def test_large_groups_and_recall(spark, monkeypatch, hot, tries, block):
     assert sort(map(tuple, got)) == sort(want)
 
 
+@pytest.mark.parametrize("most", [150, 300, 700])
+def test_components_of_few_long_texts(spark, monkeypatch, most):
+    """Blocks by words: of few texts, many blocks are empty, and no pair is counted twice for that."""
+    monkeypatch.setattr(op10_jaccard, "BLOCK_WORDS", most)
+    pairs = [(100 * k + d, t) for k in range(12) for d, t in near_copies(4, 250, 20 + k)[:4]]
+    got = op10_jaccard.join(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    want, found = brute_join(pairs)
+    assert len(found) > 20 and sort(map(tuple, got)) == sort(want)
+
+
 def test_cores(spark):
     """The centre has what more than half of the texts have; texts near it are linked with one another without a comparison."""
     pairs = near_copies(200, 300, 11)[:200]
