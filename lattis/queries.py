@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,24 +242,25 @@ def _session(spark: SparkSession):
     return Session(Database(spark, scratch_path(spark, "db")))
 
 
-def _loaded(spark: SparkSession, sf_dir: str):
-    """A session whose table part has p_partkey, p_size, p_brand and p_retailprice of the driver's."""
+def _loaded(spark: SparkSession, sf_dir: str, **more: Column):
+    """A session whose table part has p_partkey, p_size and p_brand of the driver's, and strings of more."""
     from lattis.sources.scratch import scratch_path
 
     session, path = _session(spark), scratch_path(spark, "csv")
-    read_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int"), "p_size", "p_brand").write.csv(path, header=True)
-    session.sql("create table part (p_partkey int, p_size int, p_brand char(20));")
+    read_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int"), "p_size", "p_brand", *[c.alias(n) for n, c in more.items()]).write.csv(path, header=True)
+    session.sql(f"create table part (p_partkey int, p_size int, p_brand char(20){''.join(f', {n} char(20)' for n in more)});")
     session.sql(f"load {path} into part;")
     return session
 
 
 @query("select cast(p_partkey as int) as p_partkey, case when p_size > 30 then p_size - 5 else p_size end as p_size, p_brand from part where p_size <> 7 union all select 1000000, 1, 'New'")
 def versioned_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LOAD, CREATE INDEX, UPDATE, DELETE and INSERT on a versioned table."""
-    s = _loaded(spark, sf_dir)
-    for text in ("create index part(p_partkey);", "update part set p_size = p_size - 5 where p_size > 30;", "delete from part where p_size = 7 and p_partkey >= 0;", "insert into part values (1000000, 1, 'New');"):
+    """LOAD, CREATE INDEX, UPDATE, DELETE and INSERT on a versioned table. The unique key has line too, a number
+    for each row, as part may hold the inserted p_partkey, or one twice."""
+    s = _loaded(spark, sf_dir, line=F.monotonically_increasing_id().cast("string"))
+    for text in ("create index part(p_partkey, line);", "update part set p_size = p_size - 5 where p_size > 30;", "delete from part where p_size = 7 and line <> 'new';", "insert into part values (1000000, 1, 'New', 'new');"):
         s.sql(text)
-    return s.sql("select * from part;").df
+    return s.sql("select p_partkey, p_size, p_brand from part;").df
 
 
 ORACLES["versioned_changes"] = "select cast(p_partkey as int) as p_partkey, case when p_size > 30 then p_size - 5 else p_size end as p_size, p_brand from part where case when p_size > 30 then p_size - 5 else p_size end <> 7 union all select 1000000, 1, 'New'"

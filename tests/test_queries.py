@@ -31,6 +31,18 @@ def test_query_against_its_sql(spark, duck, name):
     assert text(got) == text(want)
 
 
+@pytest.mark.parametrize("rows", [[(999_999, 7), (1_000_000, 31), (1_000_001, 12)], [(1_000_000, 1), (1_000_001, 7)], [(5, 31), (5, 31), (5, 12), (6, 7), (6, 7)], [(-3, 7), (0, 7), (-4, 40)], []], ids=["inserted key", "inserted row", "keys twice", "negative keys", "no rows"])
+def test_versioned_changes_whatever_keys_there_are(spark, tmp_path, rows):
+    con = duckdb.connect()
+    con.execute("create table part (p_partkey bigint, p_size int, p_brand varchar)")
+    for key, size in rows:
+        con.execute("insert into part values (?, ?, 'New')", [key, size])
+    con.execute(f"copy part to '{tmp_path}/part.parquet' (format parquet)")
+    got = QUERIES["versioned_changes"](spark, str(tmp_path))
+    assert got.columns == ["p_partkey", "p_size", "p_brand"]
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLES["versioned_changes"]).fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
